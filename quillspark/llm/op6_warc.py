@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, small_batches, table
 
 END = "\r\n\r\n"
-READ = "file string, at long, bytes long, problem string, record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
+GZIP = b"\x1f\x8b\x08"
+READ = "file string, at long, inner long, bytes long, problem string, record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
 def _header(kind: str) -> list:
@@ -27,8 +28,9 @@ def _header(kind: str) -> list:
     ]
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100) -> None:
-    """Write a WARC record for each row of pages(page_id, url, html) below `path`, with Spark's own text writer.
+def write_warc(pages: DataFrame, path: str, least: int = 100, compression: str = "gzip") -> None:
+    """Write a WARC record for each row of pages(page_id, url, html) below `path`, with Spark's own text writer: one gzip member for each
+    archive, or plain archives with compression "none".
 
     The payload is the html in UTF-8 (null: empty). Of records whose equal payloads have at least `least` bytes, those with the
     smallest page_id are responses and the others revisits without payload, which carry its length and digest; smaller payloads are
@@ -49,7 +51,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100) -> None:
     )
     response = F.concat(*_header("response"), F.lit("\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit(END), F.col("_html"))
     record = rows.select(F.when(again, revisit).otherwise(response).alias("value"))
-    record.write.option("lineSep", END).option("maxRecordsPerFile", 5000).text(path)
+    record.write.option("lineSep", END).option("maxRecordsPerFile", 2000).option("compression", compression).text(path)
 
 
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
@@ -63,6 +65,8 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     body = data.find(b"\r\n\r\n", at)
     if body < 0:
         return None, at, "header without end"
+    if _VERSION.search(data, at + 1, body):
+        return None, at, "header cut short"
     fields = {m[1].lower(): m[2].strip() for x in data[at:body].split(b"\r\n")[1:] if (m := _FIELD.fullmatch(x))}
     if not re.fullmatch(rb"\d{1,12}", fields.get(b"content-length", b"")):
         return None, at, "no content length"
@@ -85,50 +89,71 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     }, end + 4, ""
 
 
-def salvage(data: bytes):
-    """Yields (offset, bytes, problem, record) over an archive; its spans cover the archive without holes. problem is None for a record.
-
-    The archive is plain, or a row of gzip members with a record each. After a record or member that fails its checks, the next
-    version line or valid member is sought, and the bytes up to it are one quarantined gap.
-    """
-    at, packed = 0, data[:2] == b"\x1f\x8b"
+def _plain(data: bytes, at: int = 0):
+    """Yields (offset, bytes, problem, record) over plain records up to the end, or up to a gzip member where they should go on."""
     while at < len(data):
-        if packed or data[at : at + 3] == b"\x1f\x8b\x08":
-            record, end, problem = _member(data, at)
-        else:
-            record, end, problem = _record(data, at)
+        record, end, problem = _record(data, at)
         if record:
             yield at, end - at, None, record
-            at = end
-            continue
-        end = at + 1
-        while end < len(data):
-            m = _VERSION.search(data, end) if not packed else None
-            z = data.find(b"\x1f\x8b\x08", end)
-            end = min([x for x in (m and m.start(), z if z >= 0 else None) if x is not None], default=len(data))
-            if end >= len(data) or (_member(data, end) if data[end] == 0x1F else _record(data, end))[0]:
-                break
-            end += 1
-        yield at, end - at, problem, None
+        else:
+            if data[at : at + 3] == GZIP and _unpack(data, at)[2] is None:
+                return
+            end = at + 1
+            while end < len(data):
+                m, z = _VERSION.search(data, end), data.find(GZIP, end)
+                end = min(x for x in (m.start() if m else len(data), z if z >= 0 else len(data)))
+                if end < len(data) and (_unpack(data, end)[2] is None if data[end : end + 3] == GZIP else _record(data, end)[0]):
+                    break
+                end += 1
+            end = min(end, len(data))
+            yield at, end - at, problem, None
         at = end
 
 
-def _member(data: bytes, at: int) -> tuple[dict | None, int, str]:
-    unpack = zlib.decompressobj(31)
-    parts, fed = [], at
-    try:
-        while not unpack.eof and fed < len(data):
-            parts.append(unpack.decompress(data[fed : fed + 65536]))
-            fed += 65536
-    except zlib.error as e:
-        return None, at, f"gzip member: {e}"[:80]
-    if not unpack.eof:
-        return None, at, "gzip member cut short"
-    plain = b"".join(parts)
-    record, end, problem = _record(plain, 0)
-    if record and end != len(plain):
-        return None, at, "gzip member of several records"
-    return record, min(fed, len(data)) - len(unpack.unused_data), problem
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The plain bytes of the gzip member at `at` as far as they can be read, where it ends, and what is wrong with it."""
+    unpack, parts, fed, problem = zlib.decompressobj(31), [], at, None
+    while not unpack.eof and fed < len(data) and not problem:
+        try:
+            parts.append(unpack.decompress(data[fed : fed + 4096]))
+        except zlib.error as e:
+            problem = f"gzip member: {e}"[:80]
+        fed += 4096
+    end = min(fed, len(data)) - len(unpack.unused_data)
+    return b"".join(parts), end, problem or (None if unpack.eof else "gzip member cut short")
+
+
+def salvage(data: bytes):
+    """Yields (offset, inner, bytes, problem, record) over an archive: plain records, gzip members of one or more records, or both.
+
+    problem is None for a record. After a record that fails its checks the next valid version line or member is sought, and the bytes
+    up to it are one quarantined gap; of a broken member, the records that could still be unpacked are returned (each must pass its
+    own checks), then a gap from its start to the next valid member or version line. `offset` is that of the member or plain record in
+    the file; `inner` that within the unpacked member, -1 for what is not in a member.
+    """
+    at = 0
+    while at < len(data):
+        if data[at : at + 3] != GZIP:
+            start = at
+            for start, size, problem, record in _plain(data, at):
+                yield start, -1, size, problem, record
+                at = start + size
+            continue
+        plain, end, broken = _unpack(data, at)
+        for inner, size, problem, record in _plain(plain):
+            if record or not broken:
+                yield at, inner, size, problem, record
+        if broken:
+            end = at + 1
+            while end < len(data):
+                m, z = _VERSION.search(data, end), data.find(GZIP, end)
+                end = min(m.start() if m else len(data), z if z >= 0 else len(data))
+                if end < len(data) and (_unpack(data, end)[2] is None if data[end : end + 3] == GZIP else _record(data, end)[0]):
+                    break
+                end += 1
+            end = min(end, len(data))
+            yield at, -1, end - at, broken, None
+        at = end
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
@@ -140,12 +165,12 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows: list[tuple] = []
-                for at, size, problem, r in salvage(data.as_py()):
+                for at, inner, size, problem, r in salvage(data.as_py()):
                     r = r or {}
                     fields = (r.get("record_id"), r.get("record_type"), r.get("refers_to"), r.get("payload_bytes"), r.get("payload_digest"))
-                    rows.append((name, at, size, problem, *fields, *([r.get("payload")] if payload else [])))
+                    rows.append((name, at, inner, size, problem, *fields, *([r.get("payload")] if payload else [])))
                 if rows:
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if payload else [])]
+                    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if payload else [])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
 
     schema = READ + (", payload binary" if payload else "")
