@@ -1,7 +1,7 @@
 """The queries of this subpackage and their DuckDB twins."""
 
-from . import op2_topk, op3_bpe, op6_warc, op7_forest
+from . import op2_topk, op3_bpe, op4_simhash, op6_warc, op7_forest, op9_packing
 
-MODULES = (op2_topk, op3_bpe, op6_warc, op7_forest)
+MODULES = (op2_topk, op3_bpe, op4_simhash, op6_warc, op7_forest, op9_packing)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
