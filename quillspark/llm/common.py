@@ -44,3 +44,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Fewer rows in an Arrow batch, so that long texts don't swell a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or the first longer form of it that is no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

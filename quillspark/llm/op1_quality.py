@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, spare, table
 
 #: Frequent function words of the languages that the labellers know.
 STOP = frozenset(
@@ -204,7 +204,8 @@ def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5) -> Da
             out.append((v, posterior.get(v, share), score, score >= threshold))
         return pd.DataFrame(out, columns=["votes", "posterior", "score", "kept"])
 
-    return docs.withColumn("_q", scored(text)).select(*docs.columns, "_q.*")
+    found = spare(docs, "_found")
+    return docs.withColumn(found, scored(text)).select(*docs.columns, f"{found}.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import combinations
 
@@ -11,13 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, table
+from .common import keep, small_batches, spare, table
 from .components import connected_components
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 #: Rows of one (key, part) in a task; a larger block is compared part by part, in tasks of their own.
 PART = 1024
+NEVER = 60_000
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -51,14 +53,16 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, f0, f1, ...: signed 64-bit lanes of every whole text's fingerprint. Null and blank texts have fingerprint zero."""
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id, f0, f1, ...: signed 64-bit lanes of every whole text's fingerprint, of its shingles with or without repeats. Null and
+    blank texts have fingerprint zero."""
     small_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches):
         for batch in batches:
-            f = np.array([fingerprint(shingle_hashes(t.as_py() or "", words), lanes) for t in batch.column(1)], np.uint64).reshape(-1, lanes)
+            hashes = (shingle_hashes(t.as_py() or "", words) for t in batch.column(1))
+            f = np.array([fingerprint(h if repeats else np.unique(h), lanes) for h in hashes], np.uint64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(lanes))], names=["doc_id", *names])
 
     docs = docs.select("doc_id", "text")
@@ -91,32 +95,38 @@ def _key_values(f: np.ndarray, keys: list[list[tuple[int, int]]]) -> np.ndarray:
 
 
 def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links of a forest that spans what lies within `most` bits in one block (rows of two parts: only across them)."""
-    near = sum(np.bitwise_count(f[:, None, i] ^ f[None, :, i]).astype(np.uint16) for i in range(f.shape[1])) <= most
+    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them). It joins
+    what the links of any smaller distance join, so a stricter check may follow."""
+    apart = sum(np.bitwise_count(f[:, None, i] ^ f[None, :, i]).astype(np.uint16) for i in range(f.shape[1]))
     if side.any():
-        near &= side[:, None] != side[None, :]
-    out, unseen = [], np.ones(len(ids), bool)
-    for start in range(len(ids)):
-        if unseen[start]:
-            unseen[start] = False
-            stack = [start]
-            while stack:
-                i = stack.pop()
-                found = np.flatnonzero(near[i] & unseen)
-                unseen[found] = False
-                out += [(ids[i], ids[j]) for j in found]
-                stack += found.tolist()
+        apart[side[:, None] == side[None, :]] = NEVER
+    apart[apart > most] = NEVER
+    out, unseen = [], (apart < NEVER).any(axis=1)
+    near, by = np.full(len(ids), NEVER, np.uint16), np.zeros(len(ids), np.int64)
+    while unseen.any():
+        near[unseen] = NEVER
+        at = int(np.flatnonzero(unseen)[0])
+        while True:
+            unseen[at] = False
+            better = unseen & (apart[at] < near)
+            near[better], by[better] = apart[at][better], at
+            left = np.where(unseen, near, NEVER)
+            at = int(left.argmin())
+            if left[at] == NEVER:
+                break
+            out.append((ids[by[at]], ids[at]))
     return out
 
 
-def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int) -> DataFrame:
+def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
     """(src, dst) links that join the same fingerprints as all pairs within `most` bits that share a key do.
 
     `found`: rep, f0, ... with distinct fingerprints. Each goes to one block for each key; a block's rows meet in a task, sorted, and
     only links of a spanning forest leave it, so no block lists its pairs. A block that a sample of the rows tells to be larger than
-    PART is cut into parts, and each pair of parts is a task of its own: none of its pairs is left out.
+    PART is cut into parts, and each pair of parts is a task of its own: none of its pairs is left out. Keys are taken from all lanes,
+    distances over the first `compared` of them (all, unless told otherwise).
     """
-    names = [f"f{i}" for i in range(lanes)]
+    every, names = [f"f{i}" for i in range(lanes)], [f"f{i}" for i in range(compared or lanes)]
     small_batches(found.sparkSession, 10_000)
 
     def deal(batches):
@@ -124,10 +134,10 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
             f = np.stack([np.asarray(batch.column(1 + i)).view(np.uint64) for i in range(lanes)], axis=1)
             values = _key_values(f, keys)
             for k in range(len(keys)):
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), *batch.columns], names=["key", "rep", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), *batch.columns[: 1 + len(names)]], names=["key", "rep", *names])
 
-    dealt = found.select("rep", *names).mapInArrow(deal, ", ".join(["key long", "rep long", *(f"{n} long" for n in names)]))
-    tenth = found.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(16)) == 0).select("rep", *names).mapInArrow(deal, dealt.schema)
+    dealt = found.select("rep", *every).mapInArrow(deal, ", ".join(["key long", "rep long", *(f"{n} long" for n in names)]))
+    tenth = found.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(16)) == 0).select("rep", *every).mapInArrow(deal, dealt.schema)
     large = keep(tenth.groupBy("key").count().filter(F.col("count") > PART // 32).withColumn("parts", F.ceil(F.col("count") * 16 / PART).cast("int") + 1).select("key", "parts"), "large-blocks")
     n_large = large.count()
     if n_large:
@@ -163,7 +173,7 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
         for batch in batches:
-            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.stack([np.asarray(batch.column(2 + i)).view(np.uint64) for i in range(lanes)], axis=1), np.asarray(batch.column(2 + lanes).to_numpy(zero_copy_only=False))]
+            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.stack([np.asarray(batch.column(2 + i)).view(np.uint64) for i in range(len(names))], axis=1), np.asarray(batch.column(2 + len(names)).to_numpy(zero_copy_only=False))]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -197,6 +207,83 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int =
     return own.join(known.join(least, "root").select(*names, "component_id"), names)
 
 
+def agreement(similarity: float) -> float:
+    """The share of bits in which the fingerprints of two equally large sets of this Jaccard similarity are expected to agree."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """rep, shingles (sorted hashes, binary) of rows (rep, text)."""
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py() or "", words)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
+
+
+def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
+    """src, dst of those pairs (src, dst, a, b) whose sets of hashes have this Jaccard similarity or more."""
+    def run(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 16, recall: float = 0.99) -> DataFrame:
+    """doc_id and component_id, each a struct (none, doc_id, key) that names a row of docs(doc_id, text): key is the MD5 of its text.
+
+    Rows link where the sets of word shingles of their texts have a Jaccard similarity of `similarity` or more. Fingerprints of
+    64 x `lanes` bits find them: such a pair meets in a block with a chance of `recall` or more, and must differ in no more bits than
+    its similarity makes expect plus three standard deviations, first of 128 bits, then of all; last comes the exact similarity. A
+    key has about as many bits as it takes to number the texts, so blocks stay small at any size; the number of keys follows from
+    that. Of a block of over eight rows only a minimum spanning forest is looked at further.
+    component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows.
+    """
+    names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
+    key = F.md5(F.coalesce("text", F.lit("")))
+    who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key"))
+    own = keep(fingerprints(docs.select(who.alias("doc_id"), "text"), words, lanes, repeats=False), "fingerprints")
+    reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64(*names)), "distinct-fingerprints")
+    same = agreement(similarity)
+    within = lambda n: int(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
+    wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 1)
+    keys = sampled_blocks(lanes, math.ceil(math.log(1 - recall) / math.log(1 - same**wide)), wide)
+    found = links(reps, lanes, keys, within(128), compared=2).distinct()
+    ends = [reps.select(F.col("rep").alias(end), *(F.col(n).alias(end + n) for n in names)) for end in ("src", "dst")]
+    apart = sum((F.bit_count(F.col("src" + n).bitwiseXOR(F.col("dst" + n))) for n in names), F.lit(0))
+    near = keep(found.join(ends[0], "src").join(ends[1], "dst").filter(apart <= within(bits)).select("src", "dst"), "candidates")
+    asked = near.select(F.col("src").alias("rep")).union(near.select("dst")).distinct().join(reps, "rep").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
+    texts = docs.select("doc_id", "text", key.alias("key"))
+    texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "text").dropDuplicates(["rep"])
+    sets = keep(_shingle_sets(texts, words), "shingle-sets")
+    pairs = near.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+    roots = connected_components(_alike(pairs, similarity)).withColumnRenamed("node", "rep")
+    known = keep(reps.join(roots, "rep", "left").select(*names, "least", F.coalesce("root", "rep").alias("root")), "fingerprint-classes")
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    return own.join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of near-duplicate texts: the one with the smallest doc_id (null last; then the smallest MD5 of
+    the text), and one of its repeated rows. Columns stay as they are."""
+    groups = keep(near_texts(docs.select("doc_id", "text"), words, similarity), "near-texts")
+    kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
+    kept = keep(kept.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key"), F.col("count").alias("_n")), "kept-rows")
+    own = spare(docs, "_own")
+    rows = docs.withColumn(own, F.md5(F.coalesce("text", F.lit(""))))
+    chosen = lambda some: rows.join(kept.filter(some), (rows[own] == kept["_key"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    if kept.filter("_n > 1").isEmpty():
+        return chosen("_n = 1").select(*docs.columns)
+    return chosen("_n = 1").union(chosen("_n > 1").dropDuplicates(["doc_id", own])).select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 

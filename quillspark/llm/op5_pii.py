@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import keep, spare, table
 
 #: Titles and phrases before a name, by the gender that they tell.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Господин", "господин", "Κύριος", "κύριος")
@@ -158,11 +158,12 @@ def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
     )
     own = own.select("key", "pos", "part", F.concat("prefix", shown).alias("s"))
     own = own.groupBy("key", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "s")))["s"], "").alias("s"))
-    own = own.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias("_surrogates"))
+    key, new = spare(docs, "_key"), spare(docs, "_new")
+    own = own.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias(new))
     clean = docs.filter(F.coalesce(~F.col("text").rlike(ANY), F.lit(True))).withColumn("n_entities", F.lit(0))
-    dirty = docs.filter(F.col("text").rlike(ANY)).withColumn("_key", F.md5("text")).join(own.withColumnRenamed("key", "_key"), "_key")
-    rebuilt = F.expr(f"array_join(zip_with(split(text, {_lit(ANY)}, -1), _surrogates, (a, b) -> concat(a, coalesce(b, ''))), '')")
-    dirty = dirty.withColumn("text", rebuilt).withColumn("n_entities", F.size("_surrogates"))
+    dirty = docs.filter(F.col("text").rlike(ANY)).withColumn(key, F.md5("text")).join(own, key)
+    rebuilt = F.expr(f"array_join(zip_with(split(text, {_lit(ANY)}, -1), `{new}`, (a, b) -> concat(a, coalesce(b, ''))), '')")
+    dirty = dirty.withColumn("text", rebuilt).withColumn("n_entities", F.size(new))
     return clean.unionByName(dirty.select(*clean.columns))
 
 
