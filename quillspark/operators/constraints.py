@@ -52,7 +52,7 @@ class Table:
     defaults: dict = field(default_factory=dict)
 
     def schema(self) -> T.StructType:
-        return T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in self.columns))
+        return T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in self.columns))
 
     def empty(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([], self.schema())
