@@ -55,6 +55,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, compression: str =
 
 
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
+_AT_LINE = re.compile(rb"(?<=\n)WARC/1\.\d\r\n")
 _FIELD = re.compile(rb"([^\s:]+):[ \t]*(.*)")
 
 
@@ -65,7 +66,7 @@ def _record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     body = data.find(b"\r\n\r\n", at)
     if body < 0:
         return None, at, "header without end"
-    if _VERSION.search(data, at + 1, body):
+    if _AT_LINE.search(data, at + 1, body):
         return None, at, "header cut short"
     fields = {m[1].lower(): m[2].strip() for x in data[at:body].split(b"\r\n")[1:] if (m := _FIELD.fullmatch(x))}
     if not re.fullmatch(rb"\d{1,12}", fields.get(b"content-length", b"")):
