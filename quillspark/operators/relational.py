@@ -140,3 +140,18 @@ def numbered(df: DataFrame, order: list[str], name: str = "nth", start: int = 1)
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))  # one row for each partition
     before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.coalesce("_before", F.lit(0)) + start).drop("_p", "_i", "_first", "_before")
+
+
+def end_value(column: str, order: str, last: bool = False) -> Column:
+    """The column's value in the first or last row by `order`."""
+    return (F.max_by if last else F.min_by)(F.col(column), F.col(order))
+
+
+def single_value(column: str) -> Column:
+    """The column's value if all rows have the same one, else null."""
+    return F.when((F.min(column) == F.max(column)) & (F.count(column) == F.count(F.lit(1))), F.min(column))
+
+
+def rest(df: DataFrame, order: list[str]) -> DataFrame:
+    """All rows but the first by `order`."""
+    return numbered(df, order, "_rest").filter("_rest > 1").drop("_rest")

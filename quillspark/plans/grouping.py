@@ -93,6 +93,24 @@ def column_merge(spark, sf_dir):
     return R.zip_columns(table(spark, sf_dir, "nation").select("n_name"), regions, ["n_name"], ["k"]).drop("k")
 
 
+@plan("SELECT o_custkey, arg_min(o_orderkey, o_orderkey) AS first, arg_max(o_orderkey, o_orderkey) AS last FROM orders GROUP BY o_custkey")
+def end_values(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(R.end_value("o_orderkey", "o_orderkey").alias("first"), R.end_value("o_orderkey", "o_orderkey", last=True).alias("last"))
+
+
+@plan("SELECT o_custkey, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS status FROM orders GROUP BY o_custkey")
+def single_value(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(R.single_value("o_orderstatus").alias("status"))
+
+
+@plan("SELECT c_custkey FROM customer ORDER BY c_custkey OFFSET 1")
+def rest_rows(spark, sf_dir):
+    return R.rest(table(spark, sf_dir, "customer").select("c_custkey"), ["c_custkey"])
+
+
+both("row_cap", "SELECT c_custkey FROM {customer} ORDER BY c_custkey LIMIT 50")
+
+
 # set operations
 _X, _Y = "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F'", "SELECT o_custkey AS k FROM {orders} WHERE o_orderpriority = '1-URGENT'"
 both("union_all", f"{_X} UNION ALL {_Y}")

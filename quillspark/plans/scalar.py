@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars as C
+from quillspark.functions.udfs import fold, register
 from quillspark.plans.base import Plans
 from quillspark.sources.tables import sql, table
 
@@ -149,23 +150,24 @@ def fk_rule_code(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", C.fk_rule_code(rule).alias("r"))
 
 
-# user-defined functions, in Arrow batches
+# user-defined functions
+def _twice_and_one(x: pd.Series) -> pd.Series:
+    return x * 2 + 1
+
+
 @plan("SELECT p_partkey, p_size * 2 + 1 AS r FROM part")
 def udf_scalar(spark, sf_dir):
-    @F.pandas_udf("int")
-    def twice_and_one(x: pd.Series) -> pd.Series:
-        return x * 2 + 1
-
-    spark.udf.register("twice_and_one", twice_and_one)
+    register(spark, {"twice_and_one": (_twice_and_one, "int")})
     return sql(spark, sf_dir, "SELECT p_partkey, twice_and_one(p_size) AS r FROM {part}")
 
 
 @plan("SELECT p_brand, CAST(max(p_size) - min(p_size) AS BIGINT) AS r FROM part GROUP BY p_brand")
 def udaf_grouped(spark, sf_dir):
-    @F.pandas_udf("bigint")
-    def span(x: pd.Series) -> int:
-        return int(x.max() - x.min())
+    ends = lambda a, b: b if a is None else (min(a[0], b[0]), max(a[1], b[1]))
+    step = lambda a, v: ends(a, (int(v), int(v)))
+    return fold(table(spark, sf_dir, "part"), ["p_brand"], "p_size", None, step, ends, lambda a: a[1] - a[0], "bigint", "r")
 
-    # each task reduces its rows to one value a group and end first, so that the function sees few rows of a group
-    ends = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array(F.min("p_size"), F.max("p_size")).alias("x")).select("p_brand", F.explode("x").alias("x"))
-    return ends.groupBy("p_brand").agg(span("x").alias("r"))
+
+@plan(None)
+def user(spark, sf_dir):
+    return spark.range(1).select(F.current_user().alias("user"), C.date_ob().alias("today"))

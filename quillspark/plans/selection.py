@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import semantics as S
 from quillspark.plans.base import Plans
+from quillspark.sources import catalog
 from quillspark.sources.tables import sql, system_tables, table
 
 P = Plans()
@@ -38,6 +39,21 @@ def describe_table(spark, sf_dir):
     return system_tables(spark, sf_dir, ["orders"]).drop("table_name")
 
 
+@plan(None)
+def show_types(spark, sf_dir):
+    return catalog.show_types(spark)
+
+
+@plan(None)
+def show_session(spark, sf_dir):
+    return catalog.show_product(spark).union(catalog.show_connection(spark)).union(catalog.show_status(spark))
+
+
+@plan(None)
+def show_schemas(spark, sf_dir):
+    return catalog.show_schemas(spark)
+
+
 # filters
 ORDERS = "SELECT o_orderkey, o_custkey FROM {orders} WHERE "
 both("eq", ORDERS + "o_orderstatus = 'F'")

@@ -2,10 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.semantics import NATIVE
+from quillspark.functions.udfs import fold
 from quillspark.operators import changes as D
 from quillspark.operators import constraints as K
 from quillspark.operators import relational as R
+from quillspark.sources import catalog as C
 from quillspark.sources import tables as T
+from quillspark.streaming.triggers import on_insert
 
 OPS = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
 SETS = ([], [2], [1, 3], [None], [2, None], [2, 2], [1, 2, None])
@@ -101,5 +104,43 @@ def test_scripts(spark):
     assert [d.first()[0] for d in out] == [5, 1]
 
 
+def test_rows_at_the_ends(spark):
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, "c")], "i int, s string")
+    assert df.agg(R.end_value("s", "i"), R.end_value("s", "i", last=True), R.single_value("s")).first()[:] == (None, "c", None)
+    assert df.filter("i > 1").agg(R.single_value("s")).first()[0] == "c"
+    assert sorted(r["i"] for r in R.rest(df, ["i"]).collect()) == [2, 3]
+
+
+def test_catalog(spark, tmp_path):
+    t = K.Table("quill_catalog_test", (("id", "int"), ("s", "string")), primary_key=("id",))
+    C.drop(spark, t.name, if_exists=True)
+    assert C.create(spark, t, temporary=True).dtypes == [("id", "int"), ("s", "string")]
+    assert t.name in {r["table_name"] for r in C.show_tables(spark).collect()}
+    C.drop(spark, t.name)
+    assert t.name not in {r["table_name"] for r in C.show_tables(spark).collect()}
+    assert [r["column_name"] for r in C.describe(t.empty(spark)).collect()] == ["id", "s"]
+    C.commit(spark.createDataFrame([(1, "a")], "id int, s string"), t, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    with pytest.raises(C.Violated, match="UNIQUE id"):
+        C.commit(spark.createDataFrame([(1, "a"), (1, "b")], "id int, s string"), t, f"{tmp_path}/u")
+    assert {r["type_name"] for r in C.show_types(spark).collect()} == set(C.TYPES)
+    assert all(spark.range(1).selectExpr(f"CAST(NULL AS {k}) AS x").count() for k in C.TYPES.values())
+
+
+def test_user_aggregates(spark):
+    df = spark.createDataFrame([("a", i, i * i) for i in range(50)] + [("b", 1, None), (None, 2, 7)], "k string, i int, v int").repartition(5)
+    step = lambda a, v: a + [v] if v is not None else a
+    out = fold(df, ["k"], "v", [], step, lambda a, b: a + b, lambda a: sum(a) if a else None, "bigint", "total")
+    assert {r["k"]: r["total"] for r in out.collect()} == {"a": sum(i * i for i in range(50)), "b": None, None: 7}
+
+
+def test_triggers(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    told = []
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    on_insert(stream, "t", lambda *x: told.append(x), f"{tmp_path}/at", f"{tmp_path}/out").awaitTermination(60)
+    assert told == [("t", "INSERT", 5)] and spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
 def test_native_comparisons_are_complete():
     assert set(NATIVE) == set(OPS)
