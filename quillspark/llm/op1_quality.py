@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,78 +22,125 @@ STOP = frozenset(
 )
 LABELLERS = ("symbols", "capitals", "marks", "repeats", "redundancy", "function_words", "sentences", "word_length")
 WIDTH = 1 << 16
-_EDGES = re.compile(r"^(\W*)(.*?)(\W*)$", re.S).match
-# columns of what is known of a word: characters, letters, capitals, signs, function word, ends a sentence, ends in a run of marks
-_CHARS, _LETTERS, _CAPITALS, _SIGNS, _STOP, _ENDS, _MARKED = range(7)
-
-
-class Lexicon:
-    """Facts and hashed features of words, each worked out once in a Python worker."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.at, self.facts, self.features = most, {}, np.zeros((1024, 7), np.int32), np.zeros((1024, 2), np.int32)
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        if len(at) > self.most:
-            at.clear()
-        try:
-            return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in set(words).difference(at):
-                self._add(w)
-            return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-    def _add(self, word: str) -> None:
-        i = len(self.at)
-        if i >= len(self.facts):
-            self.facts, self.features = (np.concatenate([x, np.zeros_like(x)]) for x in (self.facts, self.features))
-        self.at[word] = i
-        before, core, after = _EDGES(word).groups()
-        letters, capitals = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
-        signs = sum(not c.isalnum() and c not in ".,;:?'’-\"()" for c in word)
-        self.facts[i] = (len(word), letters, capitals, signs, core.lower() in STOP, word[-1] in ".!?", len(after) > 1 and len(set(after)) == 1)
-        form = "A" if capitals > 1 and capitals == letters else "Aa" if core[:1].isupper() else "a" if letters else "0" if core else ""
-        shape = f"{before[:3]}{form}{min(9, len(core) // 3)}{after[:3]}"
-        self.features[i] = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % WIDTH for x in ("shape " + shape, "word " + core.lower())]
-
-
-def _lexicon() -> Lexicon:
-    if "_quillspark_lexicon" not in sys.__dict__:
-        sys.__dict__["_quillspark_lexicon"] = Lexicon()
-    return sys.__dict__["_quillspark_lexicon"]
-
-
-def _vote(good: bool, bad: bool) -> str:
-    return "-" if bad else "+" if good else "0"
-
-
-def votes(text: str, lexicon: Lexicon) -> str:
-    """One sign for each labeller: + good, - bad, 0 no opinion (too little text, or in between)."""
-    words = text.split()
-    n = len(words)
-    if not n:
-        return "0" * len(LABELLERS)
-    ids = lexicon.ids(words)
-    total = lexicon.facts[ids].sum(axis=0, dtype=np.int64)
-    chars, letters = int(total[_CHARS]), max(1, int(total[_LETTERS]))
-    signs, capitals, marked = total[_SIGNS] / chars, total[_CAPITALS] / letters, total[_MARKED] / n
-    again = float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0
-    data = text.encode("utf-8", "surrogatepass")
-    packed = len(zlib.compress(data, 1)) / len(data)
-    stop, ends, size = total[_STOP] / n, total[_ENDS] / n, chars / n
-    return "".join(
-        [
-            _vote(signs < 0.03, signs > 0.06),
-            _vote(capitals < 0.2, capitals > 0.5) if letters >= 20 else "0",
-            _vote(marked < 0.05, marked > 0.3),
-            _vote(again < 0.1, again > 0.3) if n >= 8 else "0",
-            _vote(packed > 0.3, packed < 0.15) if len(data) >= 200 else "0",
-            _vote(stop > 0.1, stop < 0.04) if n >= 25 else "0",
-            _vote(0.02 < ends < 0.4, ends < 0.005 or ends > 0.8) if n >= 40 else "0",
-            _vote(3 <= size <= 9, size < 2 or size > 14) if n >= 8 else "0",
-        ]
-    )
+#: Texts are looked at together up to about this many characters (a longer one by itself).
+TOGETHER = 400_000
+_TOP = 0x3100  # code points from here on count as letters without case
+_SPACE, _LETTER, _CAPITAL, _ALNUM, _SIGN = 1, 2, 4, 8, 16
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """What kind of character each code point is, and its small letter."""
+    if "_quillspark_characters" not in sys.__dict__:
+        kind, small = np.zeros(_TOP + 1, np.uint8), np.zeros(_TOP + 1, np.uint64)
+        for i in range(_TOP):
+            c = chr(i)
+            sign = not (c.isalnum() or c.isspace() or c in ".,;:?'’-\"()")
+            kind[i] = _SPACE * c.isspace() | _LETTER * c.isalpha() | _CAPITAL * c.isupper() | _ALNUM * c.isalnum() | _SIGN * sign
+            small[i] = ord(c.lower()[0])
+        kind[_TOP] = _LETTER | _ALNUM
+        sys.__dict__["_quillspark_characters"] = kind, small
+    return sys.__dict__["_quillspark_characters"]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Words:
+    """The words of some texts, all at once: where they stand, their hashes (of letters and digits in lower case), and their shapes."""
+
+    def __init__(self, texts: list[str]):
+        kinds, small = _tables()
+        self.texts = texts
+        cps = np.frombuffer("".join([t + " " for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+        cut = np.minimum(cps, _TOP)
+        self.kind = kinds[cut]
+        space = (self.kind & _SPACE).astype(bool)
+        self.start = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        self.end = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        self.doc = np.searchsorted(self.first, self.start, side="right") - 1
+        self.n = np.bincount(self.doc, minlength=len(texts))
+        alnum = (self.kind & _ALNUM).astype(bool)
+        if not len(self.start):
+            self.hash = np.zeros(0, np.uint64)
+            return
+        place = np.cumsum(alnum)
+        gaps = np.diff(np.r_[self.start, len(cps)])
+        place[self.start[0] :] -= np.repeat(place[self.start] - alnum[self.start], gaps)  # counts from 1 in each word
+        with np.errstate(over="ignore"):
+            letter = np.where(cps < _TOP, small[cut], cps.astype(np.uint64))
+            value = _mix(letter * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+            value[~alnum] = 0
+            self.hash = np.add.reduceat(value, self.start)
+        self.last, self.before = cps[self.end - 1], cps[np.maximum(self.end - 2, 0)]
+        self.plain_end = alnum[self.end - 1]
+        self.opening = np.where(alnum[self.start], 0, cps[self.start])
+
+    def per_word(self, bit: int) -> np.ndarray:
+        return np.add.reduceat((self.kind & bit > 0).astype(np.int32), self.start)
+
+    def per_text(self, bit: int) -> np.ndarray:
+        return np.add.reduceat((self.kind & bit > 0).astype(np.int64), self.first)
+
+    def share(self, which: np.ndarray) -> np.ndarray:
+        """Of each text's words (0 of no words)."""
+        return np.bincount(self.doc, which, len(self.texts)) / np.maximum(1, self.n)
+
+    def again(self) -> np.ndarray:
+        """Whether a word is the same as the one before it in its text."""
+        same = (self.hash[1:] == self.hash[:-1]) & (self.doc[1:] == self.doc[:-1]) & (self.hash[1:] != 0)
+        return np.r_[False, same] if len(self.hash) else same
+
+
+def groups(texts: list[str]):
+    """The texts in runs of about TOGETHER characters."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def votes(words: Words) -> list[str]:
+    """For each text one sign for each labeller: + good, - bad, 0 no opinion (too little text, or in between)."""
+    texts, n = words.texts, words.n
+    if not len(words.start):
+        return ["0" * len(LABELLERS)] * len(texts)
+    letters, alone = words.per_text(_LETTER), np.maximum(1, np.array([len(t) for t in texts]) + 1 - words.per_text(_SPACE))
+    signs, capitals = words.per_text(_SIGN) / alone, words.per_text(_CAPITAL) / np.maximum(1, letters)
+    marked = words.share((words.last == words.before) & ~words.plain_end & (words.end - words.start > 1))
+    again, stop = words.share(words.again()), words.share(np.isin(words.hash, _stop_hashes()))
+    ends, size = words.share(np.isin(words.last, [46, 33, 63])), alone / np.maximum(1, n)
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    long = np.array([len(d) >= 200 for d in data])
+    packed = np.array([len(zlib.compress(d, 1)) / len(d) if some else 1.0 for d, some in zip(data, long)])
+    every = np.ones(len(texts), bool)
+    table_ = [
+        (every, signs < 0.03, signs > 0.06),
+        (letters >= 20, capitals < 0.2, capitals > 0.5),
+        (every, marked < 0.05, marked > 0.3),
+        (n >= 8, again < 0.1, again > 0.3),
+        (long, packed > 0.3, packed < 0.15),
+        (n >= 25, stop > 0.1, stop < 0.04),
+        (n >= 40, (ends > 0.02) & (ends < 0.4), (ends < 0.005) | (ends > 0.8)),
+        (n >= 8, (size >= 3) & (size <= 9), (size < 2) | (size > 14)),
+    ]
+    signs_ = np.stack([np.where(enough & (n > 0), np.where(bad, "-", np.where(good, "+", "0")), "0") for enough, good, bad in table_])
+    return ["".join(column) for column in signs_.T.tolist()]
+
+
+def _stop_hashes() -> np.ndarray:
+    if "_quillspark_stop" not in sys.__dict__:
+        sys.__dict__["_quillspark_stop"] = Words(sorted(STOP)).hash
+    return sys.__dict__["_quillspark_stop"]
 
 
 def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
@@ -125,18 +172,32 @@ def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, fl
     return dict(zip(patterns, good.tolist())), accuracy, share
 
 
-def features(text: str, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a whole text and their weights, of length one: shapes of words, words, and words that follow themselves."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
-    ids = lexicon.ids(words)
-    again = int((ids[1:] == ids[:-1]).sum())
-    names, counts = np.unique(lexicon.features[ids].ravel(), return_counts=True)
-    if again:
-        names, counts = np.r_[names, zlib.crc32(b"again") % WIDTH], np.r_[counts, 4 * again]
-    weights = np.sqrt(counts / len(words))
-    return names.astype(np.int64), weights / np.sqrt((weights * weights).sum())
+def features(words: Words, signs: list[str], of_votes: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hashed feature, weight) of all features, by text: words, shapes of words and words that follow themselves, whose weights
+    have length one in a text, and each vote with the weight `of_votes`."""
+    cast = np.array([[c != "0" for c in v] for v in signs], bool).reshape(-1, len(LABELLERS))
+    vote_doc, vote = np.nonzero(cast)
+    good = np.array([[c == "+" for c in v] for v in signs], bool).reshape(-1, len(LABELLERS))[vote_doc, vote]
+    votes_ = vote_doc, 2 + 2 * vote + good, np.full(len(vote), of_votes)
+    if not len(words.start):
+        return votes_
+    letters, capitals, alnum = (words.per_word(bit) for bit in (_LETTER, _CAPITAL, _ALNUM))
+    form = np.where((capitals > 1) & (capitals == letters), 1, np.where(capitals > 0, 2, np.where(letters > 0, 3, np.where(alnum > 0, 4, 5))))
+    run = ~words.plain_end & (words.last == words.before) & (words.end - words.start > 1)
+    with np.errstate(over="ignore"):
+        shape = ((words.opening.astype(np.uint64) * np.uint64(1 << 21) + np.where(words.plain_end, 0, words.last)) * np.uint64(2) + run) * np.uint64(64)
+        shape = _mix(shape + (form * 10 + np.minimum(9, alnum // 3)).astype(np.uint64) + np.uint64(1 << 60))
+    again = words.again()
+    names = np.concatenate([words.hash % WIDTH, shape % WIDTH, np.full(int(again.sum()), 1, np.uint64)]).astype(np.int64)
+    docs = np.concatenate([words.doc, words.doc, words.doc[again]])
+    scale = np.concatenate([np.ones(2 * len(words.doc)), np.full(int(again.sum()), 4.0)])
+    found, at = np.unique(docs * WIDTH + names, return_inverse=True)
+    doc, name = found // WIDTH, found % WIDTH
+    weight = np.bincount(at, scale)
+    own = doc, name, np.sqrt(weight / np.bincount(doc, weight, len(words.texts))[doc])
+    doc, name, weight = (np.concatenate(x) for x in zip(own, votes_))
+    order = np.argsort(doc, kind="stable")
+    return doc[order], name[order], weight[order]
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, ridge: float = 1e-5) -> np.ndarray:
@@ -171,38 +232,40 @@ def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5) -> Da
     text = F.coalesce("text", F.lit("")).alias("text")
 
     def count(batches):
-        lexicon = _lexicon()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t.as_py(), lexicon) for t in batch.column(0)], pa.string())], names=["votes"])
+            for some in groups(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(votes(Words(some)), pa.string())], names=["votes"])
 
     counts = {r["votes"]: r["count"] for r in docs.select(text).mapInArrow(count, "votes string").groupBy("votes").count().collect()}
     posterior, _, share = label_model(counts)
     n = sum(counts.values())
 
     def featured(batches):
-        lexicon = _lexicon()
         for batch in batches:
-            rows = [(*features(t.as_py(), lexicon), posterior.get(votes(t.as_py(), lexicon), share)) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0].astype("<i4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.float64())],
-                names=["f", "w", "label"],
-            )
+            for some in groups(batch.column(0).to_pylist()):
+                words = Words(some)
+                signs = votes(words)
+                doc, name, weight = features(words, signs)
+                ends = np.searchsorted(doc, np.arange(1, len(some)))
+                cut = lambda x, kind: pa.array([part.astype(kind).tobytes() for part in np.split(x, ends)], pa.binary())
+                label = pa.array([posterior.get(v, share) for v in signs], pa.float64())
+                yield pa.RecordBatch.from_arrays([cut(name, "<i4"), cut(weight, "<f4"), label], names=["f", "w", "label"])
 
     drawn = docs.select(text).filter(F.rand(7) < min(1.0, sample / max(1, n))).mapInArrow(featured, "f binary, w binary, label double")
     rows = drawn.limit(2 * sample).collect()
     weights = fit_scorer([(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["w"], "<f4").astype(float), r["label"]) for r in rows])
 
     @F.pandas_udf("votes string, posterior double, score double, kept boolean")
-    def scored(texts):
-        import pandas as pd
-
-        lexicon, out = _lexicon(), []
-        for t in texts:
-            v = votes(t, lexicon)
-            name, value = features(t, lexicon)
-            score = float(1 / (1 + np.exp(-np.clip(weights[name] @ value + weights[-1], -30, 30))))
-            out.append((v, posterior.get(v, share), score, score >= threshold))
-        return pd.DataFrame(out, columns=["votes", "posterior", "score", "kept"])
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        found, scores = [], []
+        for some in groups(texts.tolist()):
+            words = Words(some)
+            signs = votes(words)
+            doc, name, weight = features(words, signs)
+            found += signs
+            scores.append(1 / (1 + np.exp(-np.clip(np.bincount(doc, weight * weights[name], len(some)) + weights[-1], -30, 30))))
+        score = np.concatenate(scores) if scores else np.zeros(0)
+        return pd.DataFrame({"votes": found, "posterior": [posterior.get(v, share) for v in found], "score": score, "kept": score >= threshold})
 
     found = spare(docs, "_found")
     return docs.withColumn(found, scored(text)).select(*docs.columns, f"{found}.*")
