@@ -60,6 +60,7 @@ def mentions(docs: DataFrame) -> DataFrame:
         kind = F.when(F.col("token").rlike(f"^(?:{PATTERNS[k]})$".replace("\\2", "\\1")), k).otherwise(kind)
     hits = hits.dropDuplicates(["key", "pos"]).withColumn("kind", F.when(F.col("token").contains("@"), "email").otherwise(kind))
     hits = hits.withColumn("digits", F.regexp_replace("token", "[^0-9]", "")).withColumn("cc", F.regexp_extract("token", r"^\+([0-9]{1,3})[ .(-]", 1))
+    hits = hits.withColumn("kind", F.when((F.col("kind") == "card") & ~F.expr("luhn_check(digits)"), "number").otherwise(F.col("kind")))
     hits = hits.withColumn("before", F.regexp_extract("token", f"^{_BEFORE} ", 0))
     words = "split(substr(token, length(before) + 1), ' ')"
     female = " ".join(names.lower() for (_, gender), names in GIVEN.items() if gender == "f")
@@ -100,7 +101,7 @@ def _draw(secret: str) -> Column:
         f"WHEN 'domain' THEN concat({same_classes("regexp_replace(norm, '\\\\.[^.]+$', '')")}, {more}, regexp_extract(norm, '\\\\.[^.]+$', 0)) "
         f"WHEN 'ip' THEN concat_ws('.', 1 + {at(0, 223)}, {at(1, 256)}, {at(2, 256)}, 1 + {at(3, 254)}) "
         f"WHEN 'phone' THEN concat(split_part(norm, '|', 1), '|', {digits("split_part(norm, '|', 2)")}) "
-        f"WHEN 'card' THEN if(luhn_check(norm), concat(substr({card}, 1, length(norm) - 1), filter(sequence(0, 9), d -> luhn_check(concat(substr({card}, 1, length(norm) - 1), d)))[0]), {card}) "
+        f"WHEN 'card' THEN concat(substr({card}, 1, length(norm) - 1), filter(sequence(0, 9), d -> luhn_check(concat(substr({card}, 1, length(norm) - 1), d)))[0]) "
         f"WHEN 'ssn' THEN {digits('norm')} "
     )
     for (script, gender), names in GIVEN.items():
@@ -135,7 +136,7 @@ def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
     """`docs` with every detected entity of `text` replaced, and n_entities, how many mentions that were.
 
     Kinds: e-mail addresses (mailbox and domain for themselves; the top domain stays), IPv4 addresses, phone numbers (country code and
-    notation stay), card numbers (first digit, grouping and a valid check digit stay), social security numbers, and names after a title
+    notation stay), card numbers with a valid check digit (first digit and grouping stay, and the new check digit is valid), social security numbers, and names after a title
     or phrase (each word by itself, in its script, given names by gender; the title stays). Capitals, separators and lengths are kept.
     Texts without an entity pass as they are; only texts with one are shuffled, once, by a join on a digest of the text that adaptive
     execution can split; mentions of copies of a text are looked up once. Null texts stay null with 0 entities, empty ones empty.
@@ -143,27 +144,27 @@ def pseudonymise(docs: DataFrame, secret: str) -> DataFrame:
     """
     docs = docs.drop("n_entities")
     found = keep(mentions(docs), "mentions")
-    cores = surrogates(found.select("kind", "norm").distinct(), secret)
+    cores = surrogates(found.filter("kind <> 'number'").select("kind", "norm").distinct(), secret)
     core = F.expr("CASE kind WHEN 'mailbox' THEN split_part(core, '@', 1) WHEN 'phone' THEN replace(core, '|', '') ELSE core END")
     word = F.expr("array_join(transform(split(core, '-'), w -> initcap(w)), '-')")
     numbered = F.expr(
         "aggregate(split(raw, ''), named_struct('out', '', 'i', 1), (a, c) -> if(c RLIKE '[0-9]', "
         "named_struct('out', concat(a.out, substr(core, a.i, 1)), 'i', a.i + 1), named_struct('out', concat(a.out, c), 'i', a.i)), a -> a.out)"
     )
-    own = found.join(cores, ["kind", "norm"]).withColumn("core", core)
+    own = found.join(cores, ["kind", "norm"], "left").withColumn("core", core)
     shown = (
-        F.when(F.col("kind").isin("phone", "card", "ssn"), numbered).when(F.col("kind") == "ip", F.col("core"))
+        F.when(F.col("kind") == "number", F.col("raw")).when(F.col("kind").isin("phone", "card", "ssn"), numbered).when(F.col("kind") == "ip", F.col("core"))
         .when((F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw")) & (F.length("raw") > 1), F.upper("core"))
         .when(F.col("kind").isin("mailbox", "domain"), F.col("core")).otherwise(word)
     )
-    own = own.select("key", "pos", "part", F.concat("prefix", shown).alias("s"))
-    own = own.groupBy("key", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "s")))["s"], "").alias("s"))
-    key, new = spare(docs, "_key"), spare(docs, "_new")
-    own = own.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias(new))
+    own = own.select("key", "pos", "part", F.concat("prefix", shown).alias("s"), (F.col("kind") != "number").cast("int").alias("n"))
+    own = own.groupBy("key", "pos").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part", "s")))["s"], "").alias("s"), F.max("n").alias("n"))
+    key, new, count = (spare(docs, x) for x in ("_key", "_new", "_count"))
+    own = own.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("pos", "s")))["s"].alias(new), F.sum("n").cast("int").alias(count))
     clean = docs.filter(F.coalesce(~F.col("text").rlike(ANY), F.lit(True))).withColumn("n_entities", F.lit(0))
     dirty = docs.filter(F.col("text").rlike(ANY)).withColumn(key, F.md5("text")).join(own, key)
     rebuilt = F.expr(f"array_join(zip_with(split(text, {_lit(ANY)}, -1), `{new}`, (a, b) -> concat(a, coalesce(b, ''))), '')")
-    dirty = dirty.withColumn("text", rebuilt).withColumn("n_entities", F.size(new))
+    dirty = dirty.withColumn("text", rebuilt).withColumn("n_entities", F.col(count))
     return clean.unionByName(dirty.select(*clean.columns))
 
 

@@ -245,7 +245,7 @@ PEOPLE = [
     "call +1 (743) 555-3824 or (743) 555-3824 or 743-555-3824; +44 20 7946 0958. cards 4111 1111 1111 1111, 4111111111111111 and 4785380592391139",
     "Mr. John Smith and Mrs. Anna Smith, Mr SMITH; Господин Иван Петров и госпожа Анна Петрова; Κύριος Νίκος Παπάς. My name is Clara Belo",
     "ssn 219-09-9999, ip 152.143.123.131 and 10.0.0.1. 152.143.123.131!",
-    "clean: version 4.0. CC-BY-4.0, 3.14159, 1999-12-31, 12:30, password=135299847ac0e0f0dc 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, 256.300.1.1, Mr smith, 1.2.3.4.5",
+    "clean: version 4.0. CC-BY-4.0, 3.14159, 1999-12-31, 12:30, password=135299847ac0e0f0dc 24be64439e3e49cf46b2d7c90f3602a3d0b907ff, 256.300.1.1, Mr smith, 1.2.3.4.5, 1704070807179 4785380592391130",
 ]
 
 
