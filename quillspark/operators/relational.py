@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.semantics import ANSI, NATIVE
+from quillspark.sources.shared import keep
 
 
 def join_null_keys(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
@@ -135,11 +136,13 @@ def zip_columns(left: DataFrame, right: DataFrame, left_order: list[str], right_
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "nth", start: int = 1) -> DataFrame:
-    """`df` with consecutive numbers in the given order, given out partition by partition after a range partitioning."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))  # one row for each partition
-    before = sizes.select("_p", "_first", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.coalesce("_before", F.lit(0)) + start).drop("_p", "_i", "_first", "_before")
+    """`df` with consecutive numbers in the given order: rows are range-partitioned and sorted, and a partition's numbers go on from the
+    sizes of those before. The sorted rows are written to the shared folder, as a range partitioning that is made again may cut elsewhere."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = keep(rows.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")), "numbered")
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))  # one row for each partition
+    before = sizes.select("_p", "_first", F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return rows.join(F.broadcast(before), "_p").withColumn(name, F.col("_i") - F.col("_first") + F.coalesce("_before", F.lit(0)) + start).drop("_p", "_i", "_first", "_before")
 
 
 def end_value(column: str, order: str, last: bool = False) -> Column:
