@@ -1,44 +1,13 @@
-"""Shared folder, written tables and small text helpers of the corpus operators."""
+"""Shared folder, written tables and small helpers of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.sources.shared import drop_kept, keep, shared_dir
+from quillspark.sources.tables import table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where it is unset, as in tests) a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: cuts the lineage, and what it holds survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._kept_at = path
-    return kept
-
-
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files of a table that keep() wrote and nothing reads any more."""
-    path = getattr(df, "_kept_at", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["drop_kept", "keep", "shared_dir", "small_batches", "spare", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
