@@ -195,17 +195,17 @@ def slots(sequences: list[tuple[int, dict[int, int]]]) -> dict[int, list[tuple[i
     return dict(out)
 
 
-def pack(found: DataFrame, size: int = SIZE, group: int = 50_000) -> DataFrame:
+def pack(found: DataFrame, size: int = SIZE, group: int = 1_000) -> DataFrame:
     """Gives every piece (doc_id, piece, length, ...) a sequence_id and its offset there.
 
     The driver sees one count for each length, never a row. A piece's rank within its length is its place in a bucket of the length
-    (buckets are dealt by hash so that each has about `group` rows at most, however many pieces share a length) plus the sizes of the
-    buckets before. Pieces that are equal in all columns may change places. An empty table gives an empty result.
+    (each length has buckets of its own, dealt by hash, of about `group` rows at most, however many pieces share it) plus the sizes of
+    the buckets before. Pieces that are equal in all columns may change places. An empty table gives an empty result.
     """
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     where = slots(plan(histogram, size))
-    buckets = max(1, -(-max(histogram.values(), default=0) // group))
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = found.sparkSession.createDataFrame([(x, -(-n // group)) for x, n in histogram.items()], "length long, _buckets long")  # `size` rows at most
+    dealt = found.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_buckets"))).drop("_buckets")
     sizes = dealt.groupBy("length", "_bucket").count()
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
