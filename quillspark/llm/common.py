@@ -11,8 +11,9 @@ __all__ = ["drop_kept", "keep", "shared_dir", "small_batches", "spare", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch, so that long texts don't swell a Python worker."""
+    """Fewer rows and bytes in an Arrow batch, so that long texts don't swell a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
 def spare(df: DataFrame, name: str) -> str:
