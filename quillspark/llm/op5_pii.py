@@ -34,7 +34,7 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 _WORD = r"(?:\p{Lu}[\p{Ll}'’]++(?:-\p{Lu}[\p{Ll}'’]++)?|\p{Lu}{2,}+)(?![\p{L}\p{N}])"
 _BEFORE = rf"(?:(?:{'|'.join(MALE + FEMALE)})\.?|{'|'.join(PHRASES)})"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}+",
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}_])(?<![0-9][.,-])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+?1[ .-])?[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4})(?![\p{L}\p{N}]|[.,-][0-9])",
     "card": r"(?<![\p{L}\p{N}_-])(?<![0-9][.,])(?:[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7}|[0-9]{13,19}+)(?![\p{L}\p{N}_]|[.,-][0-9])",
