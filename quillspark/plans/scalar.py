@@ -17,7 +17,7 @@ both, plan = P.both, P.plan
 both("lower", "SELECT p_partkey, lower(p_brand) AS r FROM {part}")
 both("upper", "SELECT p_partkey, upper(p_name) AS r FROM {part}")
 both("concat", "SELECT p_partkey, concat(p_brand, ' / ', p_type) AS r FROM {part}")
-both("length", "SELECT p_partkey, length(p_type) AS r FROM {part}")
+both("length", "SELECT p_partkey, CAST(length(p_type) AS INT) AS r FROM {part}")
 both("ltrim", "SELECT p_partkey, ltrim(concat('   ', p_brand, '  ')) AS r FROM {part}")
 both("rtrim", "SELECT p_partkey, rtrim(concat('   ', p_brand, '  ')) AS r FROM {part}")
 both("trim_both", "SELECT p_partkey, trim(concat('  ', p_brand, '  ')) AS r FROM {part}")
