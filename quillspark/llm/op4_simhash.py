@@ -94,9 +94,9 @@ def _key_values(f: np.ndarray, keys: list[list[tuple[int, int]]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int, nearest: int) -> list[tuple[int, int]]:
-    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them), and of
-    each row with its `nearest` ones. The forest joins what the links of any smaller distance join, so a stricter check may follow."""
+def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them). It joins
+    what the links of any smaller distance join, so a stricter check may follow."""
     apart = sum(np.bitwise_count(f[:, None, i] ^ f[None, :, i]).astype(np.uint16) for i in range(f.shape[1]))
     if side.any():
         apart[side[:, None] == side[None, :]] = NEVER
@@ -116,21 +116,16 @@ def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int, near
             if left[at] == NEVER:
                 break
             out.append((ids[by[at]], ids[at]))
-    if nearest:
-        close = np.argpartition(apart, min(nearest, len(ids) - 1), axis=1)[:, :nearest]
-        row, column = np.nonzero(np.take_along_axis(apart, close, axis=1) < NEVER)
-        out += zip(ids[row], ids[close[row, column]])
     return out
 
 
-def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None, nearest: int = 0) -> DataFrame:
+def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
     """(src, dst) links that join the same fingerprints as all pairs within `most` bits that share a key do.
 
     `found`: rep, f0, ... with distinct fingerprints. Each goes to one block for each key; a block's rows meet in a task, sorted, and
     only links of a spanning forest leave it, so no block lists its pairs. A block that a sample of the rows tells to be larger than
     PART is cut into parts, and each pair of parts is a task of its own: none of its pairs is left out. Keys are taken from all lanes,
-    distances over the first `compared` of them (all, unless told otherwise). Each row of a block of over eight also emits links to its
-    `nearest` rows.
+    distances over `compared` of them (all, unless told otherwise), other ones for each key in turn.
     """
     every, names = [f"f{i}" for i in range(lanes)], [f"f{i}" for i in range(compared or lanes)]
     small_batches(found.sparkSession, 10_000)
@@ -140,7 +135,8 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
             f = np.stack([np.asarray(batch.column(1 + i)).view(np.uint64) for i in range(lanes)], axis=1)
             values = _key_values(f, keys)
             for k in range(len(keys)):
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), *batch.columns[: 1 + len(names)]], names=["key", "rep", *names])
+                some = [batch.column(1 + (k * len(names) + i) % lanes) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), batch.column(0), *some], names=["key", "rep", *names])
 
     dealt = found.select("rep", *every).mapInArrow(deal, ", ".join(["key long", "rep long", *(f"{n} long" for n in names)]))
     tenth = found.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(16)) == 0).select("rep", *every).mapInArrow(deal, dealt.schema)
@@ -173,7 +169,7 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
                 near = i[apart <= most]
                 out.append(np.stack([ids[near], ids[near + d]], axis=1))
             for at, n in zip(starts[sizes > 8], sizes[sizes > 8]):
-                if some := _run_links(ids[at : at + n], side[at : at + n], f[at : at + n], most, nearest):
+                if some := _run_links(ids[at : at + n], side[at : at + n], f[at : at + n], most):
                     out.append(np.array(some, np.int64))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
@@ -248,8 +244,9 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     Rows link where the sets of word shingles of their texts have a Jaccard similarity of `similarity` or more. Fingerprints of
     64 x `lanes` bits find them: such a pair meets in a block with a chance of `recall` or more, and must differ in no more bits than
     its similarity makes expect plus three standard deviations, first of 128 bits, then of all; last comes the exact similarity. A
-    key has about as many bits as it takes to number the texts, so blocks stay small at any size; the number of keys follows from
-    that. Of a block of over eight rows a minimum spanning forest and each row's four nearest are looked at further, of others all pairs.
+    key has so many bits that unlike texts fill a block with 512 rows at most, at any size; the number of keys follows from that. Of a
+    block of over eight rows a minimum spanning forest is looked at further, of others all pairs; blocks of different keys compare
+    different bits, so that their forests differ.
     component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows.
     """
     names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
@@ -259,9 +256,9 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64(*names)), "distinct-fingerprints")
     same = agreement(similarity)
     within = lambda n: int(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
-    wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 1)
+    wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 9)
     keys = sampled_blocks(lanes, math.ceil(math.log(1 - recall) / math.log(1 - same**wide)), wide)
-    found = links(reps, lanes, keys, within(128), compared=2, nearest=4).distinct()
+    found = links(reps, lanes, keys, within(128), compared=2).distinct()
     ends = [reps.select(F.col("rep").alias(end), *(F.col(n).alias(end + n) for n in names)) for end in ("src", "dst")]
     apart = sum((F.bit_count(F.col("src" + n).bitwiseXOR(F.col("dst" + n))) for n in names), F.lit(0))
     near = keep(found.join(ends[0], "src").join(ends[1], "dst").filter(apart <= within(bits)).select("src", "dst"), "candidates")
