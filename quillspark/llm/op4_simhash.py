@@ -94,14 +94,15 @@ def _key_values(f: np.ndarray, keys: list[list[tuple[int, int]]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them). It joins
-    what the links of any smaller distance join, so a stricter check may follow."""
+def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them), and whether
+    more pairs lie within. The forest joins what the links of any smaller distance join."""
     apart = sum(np.bitwise_count(f[:, None, i] ^ f[None, :, i]).astype(np.uint16) for i in range(f.shape[1]))
     if side.any():
         apart[side[:, None] == side[None, :]] = NEVER
     apart[apart > most] = NEVER
     np.fill_diagonal(apart, NEVER)
+    pairs = np.count_nonzero(apart < NEVER) // 2
     out, unseen = [], (apart < NEVER).any(axis=1)
     near, by = np.full(len(ids), NEVER, np.uint16), np.zeros(len(ids), np.int64)
     while unseen.any():
@@ -116,16 +117,38 @@ def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> l
             if left[at] == NEVER:
                 break
             out.append((ids[by[at]], ids[at]))
-    return out
+    return out, pairs > len(out)
+
+
+def _whole_blocks(batches, columns):
+    """Arrays of rows sorted by their first one, the key, so that no key's rows are in two of them. `columns` makes arrays of a batch."""
+    held = None
+    for batch in batches:
+        now = columns(batch)
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        last = np.searchsorted(now[0], now[0][-1])  # the last block may go on in the next batch
+        held = [x[last:] for x in now]
+        if last:
+            yield [x[:last] for x in now]
+    if held is not None:
+        yield held
+
+
+def _lanes(batch: pa.RecordBatch, at: int, n: int) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(at + i)).view(np.uint64) for i in range(n)], axis=1)
 
 
 def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
-    """(src, dst) links that join the same fingerprints as all pairs within `most` bits that share a key do.
+    """(src, dst, block) links that join the same fingerprints as all pairs within `most` bits that share a key do.
 
     `found`: rep, f0, ... with distinct fingerprints. Each goes to one block for each key; a block's rows meet in a task, sorted, and
     only links of a spanning forest leave it, so no block lists its pairs. A block that a sample of the rows tells to be larger than
     PART is cut into parts, and each pair of parts is a task of its own: none of its pairs is left out. Keys are taken from all lanes,
-    distances over `compared` of them (all, unless told otherwise), other ones for each key in turn.
+    distances over `compared` of them (all, unless told otherwise), other ones for each key in turn. `block` names the block where it
+    holds more pairs within `most` bits than its links, else it is null.
     """
     every, names = [f"f{i}" for i in range(lanes)], [f"f{i}" for i in range(compared or lanes)]
     small_batches(found.sparkSession, 10_000)
@@ -152,7 +175,6 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
         dealt = dealt.withColumn("side", F.lit(False))
 
     def compare(batches):
-        held = None
         def flush(key, ids, f, side):
             out = []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -168,27 +190,41 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
                     apart += np.bitwise_count(f[i, lane] ^ f[i + d, lane])
                 near = i[apart <= most]
                 out.append(np.stack([ids[near], ids[near + d]], axis=1))
-            for at, n in zip(starts[sizes > 8], sizes[sizes > 8]):
-                if some := _run_links(ids[at : at + n], side[at : at + n], f[at : at + n], most):
-                    out.append(np.array(some, np.int64))
             pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
-
-        for batch in batches:
-            now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.stack([np.asarray(batch.column(2 + i)).view(np.uint64) for i in range(len(names))], axis=1), np.asarray(batch.column(2 + len(names)).to_numpy(zero_copy_only=False))]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            if not len(now[0]):
-                continue
-            last = np.searchsorted(now[0], now[0][-1])  # the last block may go on in the next batch
-            held = [x[last:] for x in now]
-            if last:
-                yield flush(*(x[:last] for x in now))
-        if held is not None:
-            yield flush(*held)
+            out, block, more = [pairs], [np.zeros(len(pairs), np.int64)], [np.zeros(len(pairs), bool)]
+            for at, n in zip(starts[sizes > 8], sizes[sizes > 8]):
+                some, rest = _run_links(ids[at : at + n], side[at : at + n], f[at : at + n], most)
+                if some:
+                    out.append(np.sort(np.array(some, np.int64), axis=1))
+                    block.append(np.full(len(some), key[at]))
+                    more.append(np.full(len(some), rest))
+            pairs = np.concatenate(out)
+            named = pa.array(np.concatenate(block), mask=~np.concatenate(more))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), named], names=["src", "dst", "block"])
+
+        columns = lambda batch: [np.asarray(batch.column(0)), np.asarray(batch.column(1)), _lanes(batch, 2, len(names)), np.asarray(batch.column(2 + len(names)).to_numpy(zero_copy_only=False))]
+        for some in _whole_blocks(batches, columns):
+            yield flush(*some)
 
     dealt = dealt.repartition("key").sortWithinPartitions("key").select("key", "rep", *names, "side")
-    return dealt.mapInArrow(compare, "src long, dst long")
+    return dealt.mapInArrow(compare, "src long, dst long, block long")
+
+
+def _pairs_across(members: DataFrame, lanes: int, most: int) -> DataFrame:
+    """(src, dst), src < dst: all pairs of rows (block, rep, root, f0, ...) of one block, but not of one root, within `most` bits."""
+    def compare(batches):
+        columns = lambda batch: [*(np.asarray(batch.column(i)) for i in range(3)), _lanes(batch, 3, lanes)]
+        for block, ids, root, f in _whole_blocks(batches, columns):
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            for at, to in zip(starts, np.r_[starts[1:], len(block)]):
+                for low in range(at, to, PART):
+                    some = slice(low, min(to, low + PART))
+                    apart = sum(np.bitwise_count(f[some, None, i] ^ f[None, at:to, i]).astype(np.uint16) for i in range(lanes))
+                    i, j = np.nonzero((apart <= most) & (root[some, None] != root[None, at:to]) & (ids[some, None] < ids[None, at:to]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][i]), pa.array(ids[at:to][j])], names=["src", "dst"])
+
+    names = [f"f{i}" for i in range(lanes)]
+    return members.repartition("block").sortWithinPartitions("block").select("block", "rep", "root", *names).mapInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int = 2, keys: list | None = None) -> DataFrame:
@@ -224,8 +260,8 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
 
 
-def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """src, dst of those pairs (src, dst, a, b) whose sets of hashes have this Jaccard similarity or more."""
+def _alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (src, dst) of `reps` (rep, least) whose texts' sets of shingles have this Jaccard similarity or more."""
     def run(batches):
         for batch in batches:
             good = []
@@ -235,7 +271,13 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
                 good.append(shared >= similarity * (len(a) + len(b) - shared))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    asked = pairs.select(F.col("src").alias("rep")).union(pairs.select("dst")).distinct().join(reps, "rep").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
+    texts = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "text").dropDuplicates(["rep"])
+    small_batches(docs.sparkSession)
+    sets = keep(_shingle_sets(texts, words), "shingle-sets")
+    both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 16, recall: float = 0.999) -> DataFrame:
@@ -245,8 +287,8 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     64 x `lanes` bits find them: such a pair meets in a block with a chance of `recall` or more, and must differ in no more bits than
     its similarity makes expect plus three standard deviations, first of 128 bits, then of all; last comes the exact similarity. A
     key has so many bits that unlike texts fill a block with 512 rows at most, at any size; the number of keys follows from that. Of a
-    block of over eight rows a minimum spanning forest is looked at further, of others all pairs; blocks of different keys compare
-    different bits, so that their forests differ.
+    block of over eight rows first a minimum spanning forest is checked, of others all pairs; then all its other pairs that these links
+    have not joined, so every pair of a block is checked or joined already.
     component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows.
     """
     names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
@@ -258,17 +300,19 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     within = lambda n: int(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
     wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 9)
     keys = sampled_blocks(lanes, math.ceil(math.log(1 - recall) / math.log(1 - same**wide)), wide)
-    found = links(reps, lanes, keys, within(128), compared=2).distinct()
+    found = keep(links(reps, lanes, keys, within(128), compared=2), "block-links")
     ends = [reps.select(F.col("rep").alias(end), *(F.col(n).alias(end + n) for n in names)) for end in ("src", "dst")]
     apart = sum((F.bit_count(F.col("src" + n).bitwiseXOR(F.col("dst" + n))) for n in names), F.lit(0))
-    near = keep(found.join(ends[0], "src").join(ends[1], "dst").filter(apart <= within(bits)).select("src", "dst"), "candidates")
-    asked = near.select(F.col("src").alias("rep")).union(near.select("dst")).distinct().join(reps, "rep").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
-    texts = docs.select("doc_id", "text", key.alias("key"))
-    texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "text").dropDuplicates(["rep"])
-    small_batches(docs.sparkSession)
-    sets = keep(_shingle_sets(texts, words), "shingle-sets")
-    pairs = near.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
-    roots = connected_components(_alike(pairs, similarity)).withColumnRenamed("node", "rep")
+    near = keep(found.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter(apart <= within(bits)).select("src", "dst"), "candidates")
+    exact = keep(_alike(near, reps, docs, words, similarity), "near-links")
+    roots = connected_components(exact).withColumnRenamed("node", "rep")
+    members = found.filter("block IS NOT NULL").select("block", F.explode(F.array("src", "dst")).alias("rep")).distinct()
+    members = keep(members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "block-members")
+    mixed = members.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("block")
+    rest = _pairs_across(members.join(mixed, "block").join(reps, "rep"), lanes, within(bits)).distinct()
+    rest = keep(rest.join(near, ["src", "dst"], "left_anti"), "further-candidates")
+    if not rest.isEmpty():
+        roots = connected_components(exact.union(_alike(rest, reps, docs, words, similarity))).withColumnRenamed("node", "rep")
     known = keep(reps.join(roots, "rep", "left").select(*names, "least", F.coalesce("root", "rep").alias("root")), "fingerprint-classes")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")

@@ -238,6 +238,18 @@ def test_one_of_each_group_of_near_texts(spark, docs):
     assert got == collections.Counter({(i, t or None): n for (i, t), n in want.items()})
 
 
+def test_links_within_a_dense_family(spark):
+    """Texts alike at 0.75, some pairs of them at 0.82: in a block the pairs stand among many that look as near."""
+    core = [f"core{i}" for i in range(170)]
+    own = [(i, core + [f"own{i}x{j}" for j in range(28)]) for i in range(320)]
+    own += [(1000 + i, w[:179] + [f"more{i}x{j}" for j in range(19)]) for i, w in own[:80]]
+    rows = op4_simhash.near_texts(spark.createDataFrame([(i, " ".join(w)) for i, w in own], "doc_id long, text string")).collect()
+    sets = {i: shingles(" ".join(w)) for i, w in own}
+    assert all(len(sets[i] & sets[1000 + i]) >= 0.8 * len(sets[i] | sets[1000 + i]) for i in range(80))
+    assert len(sets[1] & sets[2]) < 0.8 * len(sets[1] | sets[2])
+    assert {r["doc_id"]["doc_id"]: r["component_id"]["doc_id"] for r in rows} == {i: i % 1000 for i, _ in own}
+
+
 # PII
 
 PEOPLE = [
