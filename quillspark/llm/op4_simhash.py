@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -53,20 +54,25 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, repeats: bool = True) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, repeats: bool = True, few: int = 0) -> DataFrame:
     """doc_id, f0, f1, ...: signed 64-bit lanes of every whole text's fingerprint, of its shingles with or without repeats. Null and
-    blank texts have fingerprint zero."""
+    blank texts have fingerprint zero. With `few`, also few: the sorted hashes of texts of 1 to `few` different shingles, else null."""
     small_batches(docs.sparkSession)
     names = [f"f{i}" for i in range(lanes)]
 
     def run(batches):
         for batch in batches:
-            hashes = (shingle_hashes(t.as_py() or "", words) for t in batch.column(1))
-            f = np.array([fingerprint(h if repeats else np.unique(h), lanes) for h in hashes], np.uint64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(lanes))], names=["doc_id", *names])
+            f, sets = np.zeros((batch.num_rows, lanes), np.uint64), []
+            for i, t in enumerate(batch.column(1)):
+                h = shingle_hashes(t.as_py() or "", words)
+                h = h if repeats else np.unique(h)
+                f[i] = fingerprint(h, lanes)
+                sets.append(np.unique(h).tobytes() if 0 < len(h) <= few else None)
+            own = [pa.array(sets, pa.binary())] if few else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(f[:, i]).view(np.int64)) for i in range(lanes)), *own], names=["doc_id", *names, *["few"][: len(own)]])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names)]))
+    return docs.mapInArrow(run, ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"{n} long" for n in names), *["few binary"][: min(few, 1)]]))
 
 
 def pigeonhole(distance: int, blocks: int) -> list[list[tuple[int, int]]]:
@@ -245,9 +251,76 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int =
     return own.join(known.join(least, "root").select(*names, "component_id"), names)
 
 
-def agreement(similarity: float) -> float:
-    """The share of bits in which the fingerprints of two equally large sets of this Jaccard similarity are expected to agree."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def differing(shared: int, a: int, b: int) -> float:
+    """The share of bits in which the fingerprints of two sets with `shared` hashes in common, and a and b others, are expected to differ."""
+    def tail(n: int) -> list[float]:
+        """By k: the chance that at least k of n hashes set a bit."""
+        return np.cumsum([math.comb(n, k) / 2**n for k in range(n, -1, -1)])[::-1].tolist() + [0.0]
+
+    tails, total = (tail(a), tail(b)), 0.0
+    for k in range(shared + 1):
+        one, other = (t[min(max((shared + n) // 2 + 1 - k, 0), n + 1)] for t, n in zip(tails, (a, b)))
+        total += math.comb(shared, k) / 2**shared * (one * (1 - other) + other * (1 - one))
+    return total
+
+
+@cache
+def most_differing(similarity: float, over: int, exact: int = 100) -> float:
+    """The largest share of bits in which two sets of this Jaccard similarity or more are expected to differ, the larger of them having more
+    than `over` hashes. Up to `exact` it is worked out, where a tie of an even number of hashes raises it; beyond, the share nears that of
+    large sets, acos / pi, from values that are less than the largest ones before."""
+    out = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for m in range(over + 1, exact + 1):
+        for n in range(math.ceil(similarity * m - 1e-9), m + 1):
+            shared = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if 0 < shared <= n:
+                out = max(out, differing(shared, n - shared, m - shared))
+    return out
+
+
+def _distances(bits: int, share: float) -> np.ndarray:
+    """By k: the chance that a pair differing in each of `bits` with the chance `share` differs in k."""
+    log = lambda k: math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(share) + (bits - k) * math.log1p(-share)
+    return np.exp([log(k) for k in range(bits + 1)])
+
+
+def _reach(bits: int, share: float, lost: float) -> int:
+    """The number of bits that such a pair exceeds with a chance of `lost` at most."""
+    return bits - int(np.searchsorted(np.cumsum(_distances(bits, share)[::-1]), lost, side="right"))
+
+
+def _keys_needed(bits: int, wide: int, share: float, most: int, seen: float, lost: float) -> int:
+    """The number of keys of `wide` bits by which such a pair goes unfound with a chance of `lost` at most. It is found if it differs in
+    `most` bits or fewer, agrees in a key, and then by a chance of `seen`. Pairs that differ in more bits than the mean need more keys
+    than the mean does."""
+    chances = _distances(bits, share)
+    same = seen * np.cumprod([np.maximum(bits - i - np.arange(bits + 1), 0) / (bits - i) for i in range(wide)], axis=0)[-1]
+    missed = lambda n: (chances[: most + 1] * (1 - same[: most + 1]) ** n).sum() + chances[most + 1 :].sum()
+    high = 1
+    while missed(high) > lost:
+        high *= 2
+    return next(n for n in range(high // 2, high + 1) if missed(n) <= lost)
+
+
+def _few_links(reps: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) links that join what all pairs of rows (rep, few) of this Jaccard similarity or more join.
+
+    Each set is written without up to share 1 - similarity of its hashes, in all ways; such a pair has what it shares in common there.
+    Among the rows of one remainder, each links to the one that left out least: if any two of them are alike, both are like that one.
+    """
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for rep, few in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = [few[i : i + 8] for i in range(0, len(few), 8)]
+                for gone in range(int(len(h) * (1 - similarity) + 1e-9) + 1):
+                    out += [(xxhash.xxh64_intdigest(b"".join(some), 42) - (1 << 63), len(some), gone, rep) for some in combinations(h, len(h) - gone)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], names=["key", "shared", "gone", "rep"])
+
+    dealt = keep(reps.filter("few IS NOT NULL").select("rep", "few").mapInArrow(deal, "key long, shared long, gone long, rep long"), "few-shingles")
+    least = dealt.groupBy("key", "shared").agg(F.min(F.struct("gone", "rep")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    both = dealt.join(least, ["key", "shared"]).filter(F.col("rep") != F.col("least.rep"))
+    return both.filter(F.col("shared") >= F.lit(similarity) * (F.col("shared") + F.col("gone") + F.col("least.gone"))).select(F.col("least.rep").alias("src"), F.col("rep").alias("dst"))
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -283,9 +356,10 @@ def _alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, simil
 def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 16, recall: float = 0.999) -> DataFrame:
     """doc_id and component_id, each a struct (none, doc_id, key) that names a row of docs(doc_id, text): key is the MD5 of its text.
 
-    Rows link where the sets of word shingles of their texts have a Jaccard similarity of `similarity` or more. Fingerprints of
-    64 x `lanes` bits find them: such a pair meets in a block with a chance of `recall` or more, and must differ in no more bits than
-    its similarity makes expect plus three standard deviations, first of 128 bits, then of all; last comes the exact similarity. A
+    Rows link where the sets of word shingles of their texts have a Jaccard similarity of `similarity` or more. Pairs of sets so small
+    that one hash at most may be missing (9 at 0.8) are found by their remainders, all of them. Of others, fingerprints of 64 x `lanes`
+    bits find such a pair with a chance of `recall` or more, by a common key, the distance over 128 bits and that over all bits, at the
+    largest share of differing bits of any set sizes; last comes the exact similarity. A
     key has so many bits that unlike texts fill a block with 512 rows at most, at any size; the number of keys follows from that. Of a
     block of over eight rows first a minimum spanning forest is checked, of others all pairs; then all its other pairs that these links
     have not joined, so every pair of a block is checked or joined already.
@@ -294,28 +368,29 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
     key = F.md5(F.coalesce("text", F.lit("")))
     who = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("key"))
-    own = keep(fingerprints(docs.select(who.alias("doc_id"), "text"), words, lanes, repeats=False), "fingerprints")
-    reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64(*names)), "distinct-fingerprints")
-    same = agreement(similarity)
-    within = lambda n: int(n * (1 - same) + 3 * math.sqrt(n * same * (1 - same)))
+    few = max(1, math.ceil(2 / (1 - similarity) - 1e-9) - 1)
+    own = keep(fingerprints(docs.select(who.alias("doc_id"), "text"), words, lanes, repeats=False, few=few), "fingerprints")
+    reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("few").alias("few")).withColumn("rep", F.xxhash64(*names)), "distinct-fingerprints")
+    share, lost = most_differing(similarity, few), 1 - recall
+    near_bits, all_bits = _reach(128, share, 0.001), _reach(bits, share, lost / 10)
     wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 9)
-    keys = sampled_blocks(lanes, math.ceil(math.log(1 - recall) / math.log(1 - same**wide)), wide)
-    found = keep(links(reps, lanes, keys, within(128), compared=2), "block-links")
+    keys = sampled_blocks(lanes, _keys_needed(bits, wide, share, all_bits, 0.999, lost), wide)
+    found = keep(links(reps, lanes, keys, near_bits, compared=2), "block-links")
     ends = [reps.select(F.col("rep").alias(end), *(F.col(n).alias(end + n) for n in names)) for end in ("src", "dst")]
     apart = sum((F.bit_count(F.col("src" + n).bitwiseXOR(F.col("dst" + n))) for n in names), F.lit(0))
-    near = keep(found.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter(apart <= within(bits)).select("src", "dst"), "candidates")
-    exact = keep(_alike(near, reps, docs, words, similarity), "near-links")
+    near = keep(found.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter(apart <= all_bits).select("src", "dst"), "candidates")
+    exact = keep(_alike(near, reps, docs, words, similarity).union(_few_links(reps, similarity)), "near-links")
     roots = connected_components(exact).withColumnRenamed("node", "rep")
     members = found.filter("block IS NOT NULL").select("block", F.explode(F.array("src", "dst")).alias("rep")).distinct()
     members = keep(members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "block-members")
     mixed = members.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("block")
-    rest = _pairs_across(members.join(mixed, "block").join(reps, "rep"), lanes, within(bits)).distinct()
+    rest = _pairs_across(members.join(mixed, "block").join(reps, "rep"), lanes, all_bits).distinct()
     rest = keep(rest.join(near, ["src", "dst"], "left_anti"), "further-candidates")
     if not rest.isEmpty():
         roots = connected_components(exact.union(_alike(rest, reps, docs, words, similarity))).withColumnRenamed("node", "rep")
     known = keep(reps.join(roots, "rep", "left").select(*names, "least", F.coalesce("root", "rep").alias("root")), "fingerprint-classes")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+    return own.drop("few").join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

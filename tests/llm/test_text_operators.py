@@ -250,6 +250,26 @@ def test_links_within_a_dense_family(spark):
     assert {r["doc_id"]["doc_id"]: r["component_id"]["doc_id"] for r in rows} == {i: i % 1000 for i, _ in own}
 
 
+def test_short_texts_that_differ_by_words_at_the_end(spark):
+    """8 and 9 words: 4 of 5 shingles. 16 and 19 words: 12 of 15 shingles. Both are 0.8 exactly."""
+    own = []
+    for at, (n, m) in enumerate([(8, 9), (16, 19)]):
+        for i in range(400):
+            w = [f"t{at}x{i}x{j}" for j in range(m)]
+            own += [(10_000 * at + i, " ".join(w[:n])), (10_000 * at + 1000 + i, " ".join(w))]
+    own += [(20_000, "a b c d e f g"), (20_001, "a b c d e f g h"), (20_002, "a b c d e f g h i j")]  # 3 of 4, 4 of 6
+    rows = op4_simhash.near_texts(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    got = {r["doc_id"]["doc_id"]: r["component_id"]["doc_id"] for r in rows}
+    wrong = {i for i, _ in own if got[i] != (i - 1000 if i % 10_000 >= 1000 else i)}
+    assert not {i for i in wrong if not 11_000 <= i < 20_000} and len(wrong) <= 2  # those are found by chance, 0.999 or more
+
+
+def test_differing_bits_of_small_sets():
+    assert op4_simhash.differing(4, 0, 1) == 0.1875
+    assert op4_simhash.differing(12, 0, 3) == 0.1611328125
+    assert op4_simhash.most_differing(0.8, 9) == 0.1611328125
+
+
 # PII
 
 PEOPLE = [
