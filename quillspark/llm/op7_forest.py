@@ -15,6 +15,9 @@ GOOD = (
     "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf'))"
     " AND exists(embedding, x -> x <> 0)"
 )
+#: A leaf in which this share of all pairs are links is split no further: a split would part many of them, and to compare it whole
+#: takes 1 / DENSE times as many cosines as it has links.
+DENSE = 0.15
 
 
 def _direction(seed: int, dims: int) -> np.ndarray:
@@ -33,15 +36,23 @@ def _children(node: np.ndarray | int):
         return mix(node, 0), mix(node, 1)
 
 
-def _fit(sample: np.ndarray, trees: int, depth: int, spill: float) -> list[dict[int, tuple[int, float, float]]]:
-    """For each tree: node -> (dims, lower, upper bound of the band that goes both ways)."""
+def _dense(unit: np.ndarray, threshold: float) -> bool:
+    """Whether the vectors (some 256 of a node's) are so near each other that the node is compared whole."""
+    n = len(unit)
+    return n > 1 and np.count_nonzero(unit @ unit.T >= threshold) - n >= DENSE * n * (n - 1)
+
+
+def _fit(sample: np.ndarray, trees: int, depth: int, spill: float, threshold: float) -> list[dict[int, tuple[int, float, float]]]:
+    """For each tree: node -> (dims, lower, upper bound of the band that goes both ways). One tree will do if its root is dense."""
     out = []
+    if _dense(sample[:256], threshold):
+        return [{}]
     for tree in range(trees):
         nodes, level = {}, [(tree + 1, np.arange(len(sample)))]
         for _ in range(depth):
             below = []
             for node, rows in level:
-                if len(rows) < 8:
+                if len(rows) < 8 or _dense(sample[rows[:256]], threshold):
                     continue
                 at = sample[rows] @ _direction(node, sample.shape[1])
                 lo, hi = np.quantile(at, [0.5 - spill, 0.5 + spill])
@@ -87,8 +98,12 @@ def _routed(classes: DataFrame, forest: list[dict], roots: int) -> DataFrame:
     return classes.select("cls", "embedding").mapInArrow(route, "cls long, leaf long")
 
 
-def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float) -> DataFrame:
-    """Split leaves of over `cap` vectors on, a level a round, at quantiles of all their vectors' projections, until none is left."""
+def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """Split leaves of over `cap` vectors on, a level a round, at quantiles of all their vectors' projections, until those that are left
+    are dense. Returns the leaves and (leaf, count) of dense ones, or None."""
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "dense": [_dense(_unit(_as_matrix(list(pdf["embedding"]))), threshold)]})
+
     def project(batches):
         for batch in batches:
             leaf = np.asarray(batch.column(1))
@@ -111,11 +126,19 @@ def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float
                 [pa.array(np.concatenate([ids[to_left], ids[to_right]])), pa.array(np.concatenate([left[to_left], right[to_right]]))], names=["cls", "leaf"]
             )
 
+    whole = None
     while True:
-        large = assigned.groupBy("leaf").count().filter(F.col("count") > cap).select("leaf")
-        large = keep(large, "large-leaves")
+        large = assigned.groupBy("leaf").count().filter(F.col("count") > cap)
+        large = keep(large if whole is None else large.join(whole, "leaf", "left_anti"), "large-leaves")
+        if large.isEmpty():
+            return assigned, whole
+        some = assigned.join(large, "leaf").filter(F.pmod(F.xxhash64("cls", "leaf"), F.ceil(F.col("count") / 256)) == 0)
+        judged = keep(some.join(classes, "cls").select("leaf", "embedding").groupBy("leaf").applyInPandas(judge, "leaf long, dense boolean"), "judged-leaves")
+        dense = large.join(judged.filter("dense"), "leaf", "left_semi")
+        whole = keep(dense if whole is None else whole.union(dense), "dense-leaves")
+        large = keep(large.join(whole, "leaf", "left_anti").select("leaf"), "leaves-to-split")
         if large.isEmpty():
-            return assigned
+            return assigned, whole
         rows = assigned.join(large, "leaf").join(classes, "cls").select("cls", "leaf", "embedding")
         at = keep(rows.mapInArrow(project, "cls long, leaf long, at double"), "projections")
         bands = at.groupBy("leaf").agg(F.percentile_approx("at", [0.5 - spill, 0.5 + spill], 1000).alias("b"))
@@ -147,7 +170,8 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
     Equal vectors first become one class, so copies are never compared with each other. Each of `trees` trees halves the classes at
     the median of a random projection; the share `spill` on either side of the median goes both ways. The upper levels are fitted on
     at most `sample` vectors (taken by hash; every vector is routed), and a leaf that still holds over 3 x `leaf` vectors is split on
-    at quantiles of all its vectors. Within a leaf all cosines are computed in blocks of double precision, and a pair counts in the
+    at quantiles of all its vectors, unless a share DENSE of its pairs are links: such a leaf is compared whole, part against part in tasks
+    of their own. Within a leaf all cosines are computed in blocks of double precision, and a pair counts in the
     first leaf that holds both, so no pair is listed and links are counted once; what leaves a task is a count for each vector and a
     spanning forest. n_links counts rows: every copy of a linked vector is one link.
     Vectors that are null, zero, or hold null or non-finite components link with nothing; so do vectors of different lengths. Rows
@@ -165,11 +189,17 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
         depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
         fitted = own.select("cls", "embedding").orderBy(F.xxhash64("cls")).limit(sample).collect() if depth else []
         depth = min(depth, int(np.log2(max(1, len(fitted) / 20))))
-        forest = _fit(_unit(_as_matrix([r["embedding"] for r in fitted])), trees, depth, spill) if depth else [{}] * (trees if n > 3 * leaf else 1)
+        forest = _fit(_unit(_as_matrix([r["embedding"] for r in fitted])), trees, depth, spill, threshold) if depth else [{}] * (trees if n > 3 * leaf else 1)
         assigned = keep(_routed(own, forest, trees), "leaves")
-        assigned = _split_large(assigned, own.select("cls", "embedding"), 3 * leaf, spill)
+        assigned, whole = _split_large(assigned, own.select("cls", "embedding"), 3 * leaf, spill, threshold)
         paths = assigned.groupBy("cls").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))  # bounded by trees and spill
         full = paths.join(own, "cls").withColumn("leaf", F.explode("leaves")).select("leaf", "cls", "copies", "embedding", "leaves")
+        full = full.withColumns({"a": F.lit(0), "b": F.lit(0), "side": F.lit(False)})
+        if whole is not None:  # each pair of a dense leaf's parts is a task, which holds as many rows as another leaf may
+            parts = whole.select("leaf", F.ceil(F.col("count") * 2 / (3 * leaf)).cast("int").alias("parts"))
+            part = F.pmod(F.xxhash64("cls"), F.coalesce("parts", F.lit(1))).cast("int")
+            pairs = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda x: F.struct(F.least(x, part).alias("a"), F.greatest(x, part).alias("b"), (part > x).alias("side")))
+            full = full.drop("a", "b", "side").join(parts, "leaf", "left").withColumn("p", F.explode(pairs)).select("leaf", "cls", "copies", "embedding", "leaves", "p.a", "p.b", "p.side")
 
         def compare(pdf: pd.DataFrame) -> pd.DataFrame:
             ids, copies, here = pdf["cls"].to_numpy(), pdf["copies"].to_numpy(), int(pdf["leaf"].iloc[0])
@@ -177,6 +207,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
             near = np.zeros((len(ids), len(ids)), bool)
             for i in range(0, len(ids), 1024):
                 near[i : i + 1024] = unit[i : i + 1024] @ unit.T >= threshold
+            if (pdf["a"] != pdf["b"]).any():
+                side = pdf["side"].to_numpy()
+                near &= side[:, None] != side[None, :]
             np.fill_diagonal(near, False)
             near &= near.T
             busy = np.flatnonzero(near.any(axis=1))
@@ -196,7 +229,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
                 {"cls": np.concatenate([ids[some], ids[edges[:, 0]]]), "other": np.concatenate([ids[some], ids[edges[:, 1]]]), "n": np.concatenate([counts[some], np.zeros(len(edges), np.int64)])}
             )
 
-        found = keep(full.groupBy("leaf").applyInPandas(compare, "cls long, other long, n long"), "leaf-links")
+        found = keep(full.groupBy("leaf", "a", "b").applyInPandas(compare, "cls long, other long, n long"), "leaf-links")
         links = found if links is None else links.union(found)
     out = rows.withColumn("cls", F.when(F.col("vec_id").isNotNull() & F.expr(GOOD), F.xxhash64("embedding")))
     if links is None:

@@ -102,6 +102,20 @@ def test_forest_finds_links(vectors, leaf):
     assert got[2000] == got[2001] == got[2002] == got[2004] == 0 and got[2006] == 1
 
 
+@pytest.mark.parametrize("others", [0, 10_000])
+def test_forest_keeps_the_links_of_a_dense_group(spark, others):
+    """20,000 distinct vectors of which most pairs are links, more than any leaf may hold."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 16)) * 0.3 / 4 + np.eye(16)[0]
+    x = np.vstack([x, rng.standard_normal((others, 16))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
+    want = sum(np.count_nonzero(unit[i : i + 1000] @ unit.T >= 0.9) for i in range(0, len(x), 1000)) - len(x)
+    assert want > 2e8
+    found = op7_forest.near_vectors(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * want < found < 1.001 * want
+
+
 def test_no_vectors(vectors):
     assert op7_forest.near_vectors(vectors[0].limit(0)).count() == 0
 
