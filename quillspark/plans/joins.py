@@ -15,7 +15,7 @@ both, plan = P.both, P.plan
 both("cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
 both("comma_join", "SELECT n_name, r_name FROM {nation}, {region} WHERE n_regionkey = r_regionkey")
 both("inner_on", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
-both("equi2", "SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_orderkey < 2000")
+both("equi2", "SELECT a.l_orderkey, a.l_linenumber, b.l_partkey FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
 both("theta", "SELECT a.n_name AS one, b.n_name AS other FROM {nation} a JOIN {nation} b ON a.n_nationkey <> b.n_nationkey")
 both("range_join", "SELECT a.n_name AS lower, b.n_name AS higher FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey")
 both("expr_join", "SELECT n_name, r_name FROM {nation} JOIN {region} ON n_nationkey % 5 = (r_regionkey + 1) % 5")
@@ -24,7 +24,7 @@ both("right_outer", "SELECT o_orderkey, l_linenumber FROM {lineitem} RIGHT JOIN
 both("self_join", "SELECT a.s_suppkey AS one, b.s_suppkey AS other FROM {supplier} a, {supplier} b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 both("three_way", "SELECT o_orderkey, c_name, n_name FROM {orders}, {customer}, {nation} WHERE o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_name < 'C'")
 both("left_outer_where_ansi", "SELECT o_orderkey FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL")
-both("full_outer", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM {orders} WHERE o_custkey < 500) o FULL JOIN (SELECT * FROM {customer} WHERE c_custkey > 250) c ON o_custkey = c_custkey")
+both("full_outer", "SELECT o_orderkey, c_custkey FROM (SELECT * FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 200000) o FULL JOIN (SELECT * FROM {customer} WHERE c_mktsegment = 'BUILDING') c ON o_custkey = c_custkey")
 
 
 @plan("SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10) l ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'")

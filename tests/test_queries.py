@@ -34,3 +34,14 @@ def test_balance_reads_lines_once_and_uses_no_python(spark):
 def test_unique_keys_are_consecutive(spark):
     keys = [r["unique_key"] for r in registry.QUERIES["unique_key"](spark, "/root/testdata/sf0.001").collect()]
     assert sorted(keys) == list(range(1, len(keys) + 1))
+
+
+def test_joins_run_over_whole_tables(spark):
+    """Every line joins itself; of orders and customers that are chosen by value, each is in the result, some without the other."""
+    count = lambda name, some="true": spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").filter(some).count()
+    line = ["l_orderkey", "l_linenumber"]
+    assert registry.QUERIES["equi2"](spark, "/root/testdata/sf0.001").select(*line).distinct().count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(*line).distinct().count()
+    both = registry.QUERIES["full_outer"](spark, "/root/testdata/sf0.001")
+    assert both.filter("o_orderkey IS NOT NULL").count() == count("orders", "o_orderstatus = 'F' AND o_totalprice > 200000")
+    assert both.select("c_custkey").distinct().filter("c_custkey IS NOT NULL").count() == count("customer", "c_mktsegment = 'BUILDING'")
+    assert not both.filter("c_custkey IS NULL").isEmpty() and not both.filter("o_orderkey IS NULL").isEmpty()
