@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.sources.shared import drop_kept, keep, shared_dir
+from quillspark.sources.shared import drop_kept, drop_path, keep, shared_dir
 from quillspark.sources.tables import table
 
-__all__ = ["drop_kept", "keep", "shared_dir", "small_batches", "spare", "table"]
+__all__ = ["drop_kept", "drop_path", "keep", "shared_dir", "small_batches", "spare", "table"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

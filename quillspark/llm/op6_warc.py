@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -11,47 +12,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import drop_path, keep, shared_dir, small_batches, table
 
+_LOG = logging.getLogger(__name__)
 END = "\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
 READ = "file string, at long, inner long, bytes long, problem string, record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string"
 
 
-def _header(kind: str) -> list:
+#: Pages of up to so many bytes share an archive, so many of them at most; a larger one has an archive of its own.
+SMALL, TOGETHER = 1 << 20, 1000
+#: A member holds fewer bytes than this, so that the last byte of the length at its end is 0. A longer record goes on in more members.
+MEMBER = (1 << 24) - 1
+
+
+def _header(kind: str, date: str | None) -> list:
     lit, col = F.lit, F.col
     return [
         lit("WARC/1.1\r\nWARC-Type: "), lit(kind),
         lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(col("page_id").cast("string"), lit("")),
-        lit(">\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce(col("url"), lit("")), r"[\r\n]", " "),
+        lit(">\r\nWARC-Date: "), lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        lit("\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce(col("url"), lit("")), r"[\r\n]", " "),
         lit("\r\nWARC-Payload-Digest: sha256:"), col("_digest"),
     ]
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100, compression: str = "gzip") -> None:
+def _members(batches):
+    """Each record as gzip members without their very last byte."""
+    for batch in batches:
+        out = []
+        for record in batch.column(0):
+            data, parts = record.as_py(), []
+            for at in range(0, len(data), MEMBER):
+                packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+                parts += [packed.compress(data[at : at + MEMBER]), packed.flush()]
+            out.append(b"".join(parts)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 100, compression: str = "gzip", date: str | None = None) -> None:
     """Write a WARC record for each row of pages(page_id, url, html) below `path`, with Spark's own text writer: one gzip member for each
-    archive, or plain archives with compression "none".
+    record, or plain archives with compression "none". `date` is the records' WARC-Date (now, unless given).
 
     The payload is the html in UTF-8 (null: empty). Of records whose equal payloads have at least `least` bytes, those with the
     smallest page_id are responses and the others revisits without payload, which carry its length and digest; smaller payloads are
-    all responses. Rows without page_id are revisits where a row with page_id has their payload, else responses. A table without rows
-    writes an archive without records. The html is shuffled once, on its digest, by a join that adaptive execution can split where
-    one payload has very many rows.
+    all responses. Rows without page_id are revisits where a row with page_id has their payload, else responses. A record's id names the
+    page, so rows of one page_id share it. A table without rows writes archives without records. An archive holds at most TOGETHER
+    records of SMALL bytes, or one larger record. The html is shuffled once, on its digest, by a join that adaptive execution can split
+    where one payload has very many rows.
     """
     if "url" not in pages.columns:
         pages = pages.withColumn("url", F.lit(None).cast("string"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_html"))
-    rows = rows.withColumn("_digest", F.sha2(F.col("_html").cast("binary"), 256)).withColumn("_bytes", F.octet_length("_html"))
-    first = rows.filter(F.col("_bytes") >= least).groupBy("_digest").agg(F.count("*").alias("_n"), F.min("page_id").alias("_first"))
-    rows = rows.join(first.filter("_n > 1 AND _first IS NOT NULL").drop("_n"), "_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    revisit = F.concat(
-        *_header("revisit"), F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("_first").cast("string"),
-        F.lit(">\r\nWARC-Refers-To-Payload-Length: "), F.col("_bytes").cast("string"), F.lit("\r\nContent-Length: 0" + END),
-    )
-    response = F.concat(*_header("response"), F.lit("\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit(END), F.col("_html"))
-    record = rows.select(F.when(again, revisit).otherwise(response).alias("value"))
-    record.write.option("lineSep", END).option("maxRecordsPerFile", 2000).option("compression", compression).text(path)
+    small_batches(pages.sparkSession)
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("_html")).withColumn("_bytes", F.octet_length("_html"))
+    for folder, some, most in (("small", F.col("_bytes") <= SMALL, TOGETHER), ("large", F.col("_bytes") > SMALL, 1)):
+        rows = pages.filter(some).withColumn("_digest", F.sha2(F.col("_html").cast("binary"), 256))  # equal payloads are in one of the two
+        first = rows.filter(F.col("_bytes") >= least).groupBy("_digest").agg(F.count("*").alias("_n"), F.min("page_id").alias("_first"))
+        rows = rows.join(first.filter("_n > 1 AND _first IS NOT NULL").drop("_n"), "_digest", "left")
+        again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+        revisit = F.concat(
+            *_header("revisit", date), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"),
+            F.col("_first").cast("string"), F.lit(">\r\nWARC-Refers-To-Payload-Length: "), F.col("_bytes").cast("string"), F.lit("\r\nContent-Length: 0" + END),
+        )
+        response = F.concat(*_header("response", date), F.lit("\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit(END), F.col("_html"))
+        record, between = rows.select(F.when(again, revisit).otherwise(response).alias("value")), END
+        if compression == "gzip":  # the text writer puts the byte 0, with which each member ends, after each
+            record, between = record.select(F.concat("value", F.lit(END)).cast("binary").alias("value")).mapInArrow(_members, "value binary"), "\0"
+        record.select(F.col("value").cast("string")).write.option("lineSep", between).option("maxRecordsPerFile", most).text(f"{path}/{folder}")
 
 
 _VERSION = re.compile(rb"WARC/1\.\d\r\n")
@@ -124,13 +151,26 @@ def _unpack(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     return b"".join(parts), end, problem or (None if unpack.eof else "gzip member cut short")
 
 
+def _continued(data: bytes, at: int, begun: bytes) -> tuple[dict | None, int]:
+    """The record that begins so and goes on in the members from `at`, and where the last of them ends."""
+    length = re.search(rb"\r\ncontent-length:[ \t]*(\d{1,12})", begun[: begun.find(b"\r\n\r\n")], re.I)
+    wanted, parts = begun.find(b"\r\n\r\n") + 8 + int(length[1]) - len(begun), [begun]
+    while wanted > 0 and data[at : at + 3] == GZIP:
+        more, at, broken = _unpack(data, at)
+        if broken:
+            break
+        parts.append(more)
+        wanted -= len(more)
+    return _record(b"".join(parts), 0)[0], at
+
+
 def salvage(data: bytes):
     """Yields (offset, inner, bytes, problem, record) over an archive: plain records, gzip members of one or more records, or both.
 
     problem is None for a record. After a record that fails its checks the next valid version line or member is sought, and the bytes
     up to it are one quarantined gap; of a broken member, the records that could still be unpacked are returned (each must pass its
-    own checks), then a gap from its start to the next valid member or version line. `offset` is that of the member or plain record in
-    the file; `inner` that within the unpacked member, -1 for what is not in a member.
+    own checks), then a gap from its start to the next valid member or version line. A record may go on in the next members. `offset` is
+    that of the member or plain record in the file; `inner` that within the unpacked member, -1 for what is not in a member.
     """
     at = 0
     while at < len(data):
@@ -142,6 +182,12 @@ def salvage(data: bytes):
             continue
         plain, end, broken = _unpack(data, at)
         for inner, size, problem, record in _plain(plain):
+            if problem == "payload cut short" and not broken:
+                whole, further = _continued(data, end, plain[inner:])
+                if whole:
+                    yield at, inner, further - at, None, whole
+                    end = further
+                    break
             if record or not broken:
                 yield at, inner, size, problem, record
         if broken:
@@ -160,7 +206,8 @@ def salvage(data: bytes):
 def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """Records and quarantined gaps of all archives below `path`; problem is null for a record, and a gap's reason else.
 
-    Archives are read whole, one by one, so the writer keeps them small. Gaps have no record columns.
+    Archives are read whole, one by one, so the writer keeps them small; their members are unpacked one by one. Gaps have no record
+    columns. Folders below `path` are read too.
     """
     def read(batches):
         for batch in batches:
@@ -176,15 +223,30 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
     schema = READ + (", payload binary" if payload else "")
     small_batches(spark)  # batches are also bounded by bytes, so archives come one by one or a few at a time
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(read, schema)
 
 
+def quarantined(found: DataFrame, expected: int | None = None) -> DataFrame:
+    """Log the gaps of what read_warc() returned and return them: file, at, bytes, problem. Raises if records are not as many as `expected`."""
+    gaps = found.filter("problem IS NOT NULL").select("file", "at", "bytes", "problem")
+    n, records = gaps.count(), found.filter("problem IS NULL").count()
+    for r in gaps.orderBy("file", "at").limit(20).collect():
+        _LOG.warning("quarantined %d bytes at %d of %s: %s", r["bytes"], r["at"], r["file"], r["problem"])
+    if n > 20:
+        _LOG.warning("%d gaps in all", n)
+    if expected is not None and records != expected:
+        raise ValueError(f"{expected} records were written, {records} were read, with {n} gaps")
+    return gaps
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(table(spark, sf_dir, "pages"), path)
-    found = read_warc(spark, path).filter("problem IS NULL")
-    return found.select(
+    path, pages = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}", table(spark, sf_dir, "pages")
+    write_warc(pages, path)
+    found = keep(read_warc(spark, path), "warc-records")
+    drop_path(spark, path)
+    quarantined(found, pages.count())
+    return found.filter("problem IS NULL").select(
         F.expr("try_cast(record_id AS bigint)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS bigint)").alias("refers_to")
     )
 
