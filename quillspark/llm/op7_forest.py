@@ -100,7 +100,10 @@ def _routed(classes: DataFrame, forest: list[dict], roots: int) -> DataFrame:
 
 def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """Split leaves of over `cap` vectors on, a level a round, at quantiles of all their vectors' projections, until those that are left
-    are dense. Returns the leaves and (leaf, count) of dense ones, or None."""
+    are dense. Returns the leaves and (leaf, count) of dense ones, or None.
+
+    Vectors of one projection are of one direction (but by a chance of zero) and always go the same ways. If they are so many that a
+    split would leave a child nearly as large as its parent, their pairs alone make the leaf dense, so the rounds end."""
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "dense": [_dense(_unit(_as_matrix(list(pdf["embedding"]))), threshold)]})
 
@@ -118,10 +121,7 @@ def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float
             left, right = _children(np.asarray(batch.column(1)))
             at, lo, hi = (np.asarray(batch.column(i)) for i in (2, 3, 4))
             ids = np.asarray(batch.column(0))
-            # where the band has no width, a bit of the id decides, so that every round divides the leaf
-            odd = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(bool)
-            flat = lo == hi
-            to_left, to_right = np.where(flat, ~odd, at <= hi), np.where(flat, odd, at >= lo)
+            to_left, to_right = at <= hi, at >= lo
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([ids[to_left], ids[to_right]])), pa.array(np.concatenate([left[to_left], right[to_right]]))], names=["cls", "leaf"]
             )
