@@ -90,28 +90,42 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-def patterns(counts: np.ndarray, size: int) -> np.ndarray:
-    """Rows of up to four lengths (0: none) that sum to `size`, all of which occur: a length with its complement, and with two or three
-    others that share the complement evenly or one to two."""
-    found = set()
-    for a in np.flatnonzero(counts[: size + 1]).tolist():
-        rest = size - a
-        for parts in ((rest,), (rest // 2, rest - rest // 2), (rest // 3, rest - rest // 3), (rest // 3, rest // 3, rest - 2 * (rest // 3)), (rest // 4, rest // 4, rest - 2 * (rest // 4))):
-            if all(x == 0 or counts[x] for x in parts):
-                found.add(tuple(sorted((a, *parts, *[0] * (3 - len(parts))), reverse=True)))
-    return np.array(sorted(found), np.int64).reshape(-1, 4)
-
-
-def fit_repeats(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
+def best_patterns(worth: np.ndarray, lengths: np.ndarray, size: int, few: int, slack: int) -> np.ndarray:
+    """For each of `lengths` the pattern of up to `few` lengths with it that is worth most, of all that leave at most `slack` of `size`
+    unused (what is unused costs in proportion); rows of lengths in falling order, filled up with 0."""
+    best, chosen = np.full(size + 1, -np.inf), []
+    best[0] = 0
+    for _ in range(few - 1):  # of all sets of one more length, by their sum
+        new, last = best.copy(), np.zeros(size + 1, np.int64)
+        for x in lengths.tolist():
+            better = best[: size + 1 - x] + worth[x] > new[x:]
+            new[x:][better] = (best[: size + 1 - x] + worth[x])[better]
+            last[x:][better] = x
+        best = new
+        chosen.append(last)
+    waste = np.arange(slack + 1)
+    at = size - lengths[:, None] - waste
+    value = np.where(at >= 0, best[np.maximum(at, 0)], -np.inf) - waste * np.abs(worth).max() / (slack + 1)
+    at = np.take_along_axis(at, value.argmax(axis=1)[:, None], axis=1)[:, 0]
+    good = np.isfinite(value.max(axis=1))
+    rows = np.zeros((good.sum(), few), np.int64)
+    rows[:, 0], at = lengths[good], at[good]
+    for k, last in enumerate(reversed(chosen)):
+        rows[:, k + 1] = last[at]
+        at = at - rows[:, k + 1]
+    return np.unique(-np.sort(-rows, axis=1), axis=0)
+
+
+def fit_repeats(rows: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200) -> np.ndarray:
     """Repeats x >= 0 of the patterns that least miss the histogram in squares, by accelerated projected gradient."""
-    x = np.zeros(len(rows))
     if not len(rows):
-        return x
+        return start
     use = (rows > 0).astype(float)
     covers = lambda v: np.bincount(rows.ravel(), weights=(v[:, None] * use).ravel(), minlength=len(counts))
     back = lambda r: (r[rows] * use).sum(axis=1)
     step = 1 / max(1e-9, back(covers(np.ones(len(rows)))).max())  # bounds the largest eigenvalue, as the matrix has no negative entry
-    y, t = x, 1.0
+    x = y = start
+    t = 1.0
     for _ in range(rounds):
         new = np.maximum(0, y - step * back(covers(y) - counts))
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
@@ -119,19 +133,41 @@ def fit_repeats(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.n
     return x
 
 
+def patterns(counts: np.ndarray, size: int, few: int = 4, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of up to `few` lengths and their repeats, fitted to the histogram by non-negative least squares.
+
+    Of all patterns of that many lengths, those that the fit wants next are found by a table over sums (what a pattern is worth is what
+    the fit so far misses of its lengths), for each length one; then all are fitted again. They leave 1/64 of a sequence at most.
+    """
+    lengths = np.flatnonzero(counts[: size + 1])
+    rows, repeats, missed = np.zeros((0, few), np.int64), np.zeros(0), counts.astype(float)
+    for _ in range(rounds):
+        new = best_patterns(missed, lengths, size, few, size // 64)
+        every, first = np.unique(np.vstack([rows, new]), axis=0, return_index=True)
+        if len(every) == len(rows):
+            break
+        repeats = fit_repeats(every, counts, np.r_[repeats, np.zeros(len(new))][first])
+        rows, missed = every, counts - np.bincount(every.ravel(), weights=np.repeat(repeats, few), minlength=len(counts))
+        missed[0] = 0
+    return rows, repeats
+
+
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
     """(repeats, {length: how often in one sequence}) for all sequences; every piece of the histogram is in one.
 
-    Rounded-down patterns come first. What is left is packed by best-fit decreasing, a whole run of equal lengths and equal gaps at a
-    time: the longest goes into the sequences with the smallest gap that holds it, and into new sequences where none does.
+    Rounded patterns come first, as often as there are pieces for them; best fit packs what is left. If best fit alone takes fewer
+    sequences (as with few pieces of each length), its plan is taken.
     """
     counts = np.zeros(size + 1)
     for length, n in histogram.items():
         counts[length] += n
     left = {int(i): int(counts[i]) for i in np.flatnonzero(counts)}
+    alone = best_fit(left, size)
+    if sum(n for n, _ in alone) * size < sum(x * n for x, n in left.items()) + size:
+        return alone  # no plan takes fewer
     done: list[tuple[int, dict[int, int]]] = []
-    rows = patterns(counts, size)
-    repeats = np.floor(fit_repeats(rows, counts) + 1e-6).astype(int)
+    rows, repeats = patterns(counts, size)
+    repeats = np.rint(repeats).astype(int)
     for i in np.argsort(-repeats, kind="stable"):
         own: dict[int, int] = defaultdict(int)
         for x in rows[i]:
@@ -142,6 +178,14 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[in
             done.append((n, dict(own)))
             for x, k in own.items():
                 left[x] -= n * k
+    done += best_fit(left, size)
+    return min(done, alone, key=lambda sequences: sum(n for n, _ in sequences))
+
+
+def best_fit(left: dict[int, int], size: int) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing of {length: count}, a whole run of equal lengths and equal gaps at a time: the longest goes into the sequences
+    with the smallest gap that holds it, and into new sequences where none does."""
+    done: list[tuple[int, dict[int, int]]] = []
     gaps: list[int] = []  # sorted
     open_: dict[int, list[list]] = defaultdict(list)  # gap -> [repeats, content]
 
