@@ -20,7 +20,10 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 #: Rows of one (key, part) in a task; a larger block is compared part by part, in tasks of their own.
 PART = 1024
-NEVER = 60_000
+#: Rows of a block that meet all its parts, in the pass that is linear; and the keys that it goes through.
+HUBS, FIRST = 16, 3
+#: Shingle hashes of a group in a task (a single text may hold more).
+HASHES = 1 << 21
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -100,30 +103,22 @@ def _key_values(f: np.ndarray, keys: list[list[tuple[int, int]]]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _run_links(ids: np.ndarray, side: np.ndarray, f: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """Links of a minimum spanning forest of what lies within `most` bits in one block (rows of two parts: only across them), and whether
-    more pairs lie within. The forest joins what the links of any smaller distance join."""
-    apart = sum(np.bitwise_count(f[:, None, i] ^ f[None, :, i]).astype(np.uint16) for i in range(f.shape[1]))
-    if side.any():
-        apart[side[:, None] == side[None, :]] = NEVER
-    apart[apart > most] = NEVER
-    np.fill_diagonal(apart, NEVER)
-    pairs = np.count_nonzero(apart < NEVER) // 2
-    out, unseen = [], (apart < NEVER).any(axis=1)
-    near, by = np.full(len(ids), NEVER, np.uint16), np.zeros(len(ids), np.int64)
-    while unseen.any():
-        near[unseen] = NEVER
-        at = int(np.flatnonzero(unseen)[0])
-        while True:
-            unseen[at] = False
-            better = unseen & (apart[at] < near)
-            near[better], by[better] = apart[at][better], at
-            left = np.where(unseen, near, NEVER)
-            at = int(left.argmin())
-            if left[at] == NEVER:
-                break
-            out.append((ids[by[at]], ids[at]))
-    return out, pairs > len(out)
+def _forest(near: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """(row, row) links of a boolean matrix that join what all its links join; rows of one group are joined already."""
+    out, unseen = [], near.any(axis=1)
+    for start in np.flatnonzero(unseen).tolist():
+        stack = np.flatnonzero(unseen & (group == group[start])).tolist() if unseen[start] else []
+        unseen[stack] = False
+        while stack:
+            at = stack.pop()
+            found = np.flatnonzero(near[at] & unseen)
+            if len(found):
+                names, first = np.unique(group[found], return_index=True)
+                out += [(at, int(j)) for j in found[first]]
+                more = np.flatnonzero(unseen & np.isin(group, names))
+                unseen[more] = False
+                stack += more.tolist()
+    return out
 
 
 def _whole_blocks(batches, columns):
@@ -147,94 +142,122 @@ def _lanes(batch: pa.RecordBatch, at: int, n: int) -> np.ndarray:
     return np.stack([np.asarray(batch.column(at + i)).view(np.uint64) for i in range(n)], axis=1)
 
 
-def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
-    """(src, dst, block) links that join the same fingerprints as all pairs within `most` bits that share a key do.
+def _parts(rows: DataFrame, block: str, large: DataFrame, broad: bool) -> DataFrame:
+    """Deals the rows (block, root, rep, ...) of large blocks to parts, each a task: `block` becomes the task's name, and side tells the
+    two parts of a task apart, whose rows are then compared across only.
 
-    `found`: rep, f0, ... with distinct fingerprints. Each goes to one block for each key; a block's rows meet in a task, sorted, and
-    only links of a spanning forest leave it, so no block lists its pairs. A block that a sample of the rows tells to be larger than
-    PART is cut into parts, and each pair of parts is a task of its own: none of its pairs is left out. Keys are taken from all lanes,
-    distances over `compared` of them (all, unless told otherwise), other ones for each key in turn. `block` names the block where it
-    holds more pairs within `most` bits than its links, else it is null.
+    `large`: block, n (rows), of_main (rows of its commonest root), main (that root), most (rows in a part). With `broad`, a row is in a
+    part of its own and HUBS rows of the block are in each: so the work is linear in the block, but pairs of two parts don't meet. Else
+    each pair of parts is a task, but for two that hold the commonest root only: so no pair of two roots is left out, and a block of
+    which one root has nearly all rows is linear again.
+    """
+    large = large.withColumn("d", F.when((F.col("of_main") * 2 < F.col("most")) | F.lit(broad), 0).otherwise(F.ceil(F.col("of_main") / F.col("most"))))
+    large = large.withColumn("e", F.greatest(F.lit(1), F.ceil((F.col("n") - F.when(F.col("d") > 0, F.col("of_main")).otherwise(0)) / F.col("most"))))
+    large = large.select(block, F.col("n").alias("_n"), F.col("main").alias("_main"), F.col("d").cast("int").alias("_d"), F.col("e").cast("int").alias("_e"))
+    n = large.count()
+    if not n:
+        return rows.withColumn("side", F.lit(False))
+    rows = rows.join(F.broadcast(large) if n <= 100_000 else large, block, "left")
+    part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    one = lambda a, b, side: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), side.alias("side"))
+    alone, no = F.array(one(F.lit(0), F.lit(0), F.lit(False))), F.lit(False)
+    if broad:
+        hub = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("_n")) < HUBS
+        tasks = F.transform(F.when(hub, F.sequence(F.lit(0), F.col("_e") - 1)).otherwise(F.array(part(F.col("_e")))), lambda x: one(x, x, no))
+    else:
+        main = (F.col("_d") > 0) & (F.col("root") == F.col("_main"))
+        own = F.when(main, part(F.greatest("_d", F.lit(1)))).otherwise(F.col("_d") + part(F.col("_e")))
+        others = F.sequence(F.when(main, F.col("_d")).otherwise(F.lit(0)), F.col("_d") + F.col("_e") - 1)
+        tasks = F.transform(others, lambda x: one(F.least(x, own), F.greatest(x, own), own > x))
+    rows = rows.withColumn("_task", F.explode(F.when(F.col("_e").isNull(), alone).otherwise(tasks)))
+    named = F.when(F.col("_e").isNull(), F.col(block)).otherwise(F.xxhash64(block, "_task.a", "_task.b"))
+    return rows.withColumns({block: named, "side": F.col("_task.side")}).drop("_n", "_main", "_d", "_e", "_task")
+
+
+def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None, broad: bool = False) -> DataFrame:
+    """(src, dst) links between roots that join the same roots as all pairs of rows within `most` bits that share a key do.
+
+    `found`: rep, root, f0, ... with distinct fingerprints; rows of one root are joined already and not compared. Each row goes to one
+    block for each key; a block's rows meet in a task, sorted, and only links of a spanning forest leave it, so no block lists its pairs.
+    A block that a sample of the rows tells to be larger than PART is cut into parts (see _parts; with `broad`, pairs of different parts
+    don't meet). Keys are taken from all lanes, distances over `compared` of them (all, unless told otherwise), other ones for each key
+    in turn.
     """
     every, names = [f"f{i}" for i in range(lanes)], [f"f{i}" for i in range(compared or lanes)]
     small_batches(found.sparkSession, 10_000)
 
     def deal(batches):
         for batch in batches:
-            f = np.stack([np.asarray(batch.column(1 + i)).view(np.uint64) for i in range(lanes)], axis=1)
-            values = _key_values(f, keys)
+            values = _key_values(_lanes(batch, 2, lanes), keys)
             for k in range(len(keys)):
-                some = [batch.column(1 + (k * len(names) + i) % lanes) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), batch.column(0), *some], names=["key", "rep", *names])
-
-    dealt = found.select("rep", *every).mapInArrow(deal, ", ".join(["key long", "rep long", *(f"{n} long" for n in names)]))
-    tenth = found.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(16)) == 0).select("rep", *every).mapInArrow(deal, dealt.schema)
-    large = keep(tenth.groupBy("key").count().filter(F.col("count") > PART // 32).withColumn("parts", F.ceil(F.col("count") * 16 / PART).cast("int") + 1).select("key", "parts"), "large-blocks")
-    n_large = large.count()
-    if n_large:
-        dealt = dealt.join(F.broadcast(large) if n_large <= 100_000 else large, "key", "left")
-        own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, own).alias("a"), F.greatest(x, own).alias("b"), (own > x).alias("side"), (x == own).alias("alone")))
-        dealt = dealt.withColumn("p", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(False).alias("side"), F.lit(True).alias("alone")))).otherwise(pairs)))
-        dealt = dealt.select(F.xxhash64("key", "p.a", "p.b").alias("key"), "rep", *names, F.col("p.side").alias("side"))
-    else:
-        dealt = dealt.withColumn("side", F.lit(False))
+                some = [batch.column(2 + (k * len(names) + i) % lanes) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(values[:, k]), batch.column(0), batch.column(1), *some], names=["key", "rep", "root", *names])
+
+    schema = ", ".join(["key long", "rep long", "root long", *(f"{n} long" for n in names)])
+    found = found.select("rep", "root", *every)
+    tenth = found.filter(F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(16)) == 0).mapInArrow(deal, schema).groupBy("key", "root").count()
+    large = tenth.groupBy("key").agg((16 * F.sum("count")).alias("n"), (16 * F.max("count")).alias("of_main"), F.max_by("root", F.struct("count", "root")).alias("main")).filter(F.col("n") > PART // 2)
+    large = keep(large.withColumn("most", F.lit(PART)), "large-blocks")
 
     def compare(batches):
-        def flush(key, ids, f, side):
+        columns = lambda batch: [np.asarray(batch.column(0)), np.asarray(batch.column(1)), _lanes(batch, 2, len(names)), np.asarray(batch.column(2 + len(names)).to_numpy(zero_copy_only=False))]
+        for key, root, f, side in _whole_blocks(batches, columns):
             out = []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
             for d in range(1, 8):  # small blocks all at once
-                at = np.repeat(starts[(sizes > d) & (sizes <= 8)], sizes[(sizes > d) & (sizes <= 8)] - d)
+                some = (sizes > d) & (sizes <= 8)
+                n = sizes[some] - d
+                at = np.repeat(starts[some], n)
                 if not len(at):
                     break
-                n = sizes[(sizes > d) & (sizes <= 8)] - d
                 i = at + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                i = i[root[i] != root[i + d]]
                 apart = np.zeros(len(i), np.int64)
                 for lane in range(f.shape[1]):
                     apart += np.bitwise_count(f[i, lane] ^ f[i + d, lane])
                 near = i[apart <= most]
-                out.append(np.stack([ids[near], ids[near + d]], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-            out, block, more = [pairs], [np.zeros(len(pairs), np.int64)], [np.zeros(len(pairs), bool)]
+                out.append(np.stack([root[near], root[near + d]], axis=1))
             for at, n in zip(starts[sizes > 8], sizes[sizes > 8]):
-                some, rest = _run_links(ids[at : at + n], side[at : at + n], f[at : at + n], most)
-                if some:
-                    out.append(np.sort(np.array(some, np.int64), axis=1))
-                    block.append(np.full(len(some), key[at]))
-                    more.append(np.full(len(some), rest))
-            pairs = np.concatenate(out)
-            named = pa.array(np.concatenate(block), mask=~np.concatenate(more))
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), named], names=["src", "dst", "block"])
+                own, group, across = f[at : at + n], root[at : at + n], side[at : at + n]
+                if (group == group[0]).all():
+                    continue
+                near = np.zeros((n, n), bool)
+                for i in range(0, n, PART):
+                    apart = sum(np.bitwise_count(own[i : i + PART, None, lane] ^ own[None, :, lane]).astype(np.uint16) for lane in range(own.shape[1]))
+                    near[i : i + PART] = (apart <= most) & (group[i : i + PART, None] != group[None])
+                if across.any():
+                    near &= across[:, None] != across[None]
+                if pairs := _forest(near, group):
+                    out.append(group[np.array(pairs)])
+            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
 
-        columns = lambda batch: [np.asarray(batch.column(0)), np.asarray(batch.column(1)), _lanes(batch, 2, len(names)), np.asarray(batch.column(2 + len(names)).to_numpy(zero_copy_only=False))]
-        for some in _whole_blocks(batches, columns):
-            yield flush(*some)
+    dealt = _parts(found.mapInArrow(deal, schema), "key", large, broad)
+    dealt = dealt.repartition("key").sortWithinPartitions("key").select("key", "root", *names, "side")
+    return dealt.mapInArrow(compare, "src long, dst long")
 
-    dealt = dealt.repartition("key").sortWithinPartitions("key").select("key", "rep", *names, "side")
-    return dealt.mapInArrow(compare, "src long, dst long, block long")
 
+def _joined(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """`rows` (root, ...) with the roots of what `edges` (between roots) join."""
+    last = connected_components(edges).toDF("root", "_last")
+    return rows.join(last, "root", "left").withColumn("root", F.coalesce("_last", "root")).drop("_last")
 
-def _pairs_across(members: DataFrame, lanes: int, most: int) -> DataFrame:
-    """(src, dst), src < dst: all pairs of rows (block, rep, root, f0, ...) of one block, but not of one root, within `most` bits."""
-    def compare(batches):
-        columns = lambda batch: [*(np.asarray(batch.column(i)) for i in range(3)), _lanes(batch, 3, lanes)]
-        for block, ids, root, f in _whole_blocks(batches, columns):
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            for at, to in zip(starts, np.r_[starts[1:], len(block)]):
-                for low in range(at, to, PART):
-                    some = slice(low, min(to, low + PART))
-                    apart = sum(np.bitwise_count(f[some, None, i] ^ f[None, at:to, i]).astype(np.uint16) for i in range(lanes))
-                    i, j = np.nonzero((apart <= most) & (root[some, None] != root[None, at:to]) & (ids[some, None] < ids[None, at:to]))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some][i]), pa.array(ids[at:to][j])], names=["src", "dst"])
 
+def reached(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
+    """rep, root of rows (rep, f0, ...) with distinct fingerprints: all pairs within `most` bits that share a key have one root.
+
+    The first keys are gone through in linear work, which joins what is dense; then all keys, between different roots only. So a group of
+    any number of near rows is compared with itself only in parts, and with others once; its links are a few for each row.
+    """
     names = [f"f{i}" for i in range(lanes)]
-    return members.repartition("block").sortWithinPartitions("block").select("block", "rep", "root", *names).mapInArrow(compare, "src long, dst long")
+    rows = found.select("rep", F.col("rep").alias("root"), *names)
+    rows = keep(_joined(rows, links(rows, lanes, keys[:FIRST], most, compared, broad=True)), "reached")
+    return keep(_joined(rows.select("rep", "root"), links(rows, lanes, keys, most, compared)), "reached")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int = 2, keys: list | None = None) -> DataFrame:
-    """doc_id, f0, ..., component_id for every row of docs(doc_id, text).
+    """doc_id, f0, f1, ..., component_id for every row of docs(doc_id, text).
 
     Documents link where their fingerprints are equal or differ in at most `most` bits and share a key; component_id is the smallest
     doc_id reachable. Without `keys` they are such that every pair in reach shares one (one lane only). Equal fingerprints are first
@@ -244,9 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int =
     names = [f"f{i}" for i in range(lanes)]
     own = keep(fingerprints(docs, words, lanes), "fingerprints")
     reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64(*names) if lanes > 1 else F.col("f0")), "distinct-fingerprints")
-    found = links(reps, lanes, keys or pigeonhole(most, most + 2), most)
-    roots = connected_components(found).withColumnRenamed("node", "rep")
-    known = keep(reps.join(roots, "rep", "left").select(*names, "least", F.coalesce("root", "rep").alias("root")), "fingerprint-classes")
+    known = keep(reps.join(reached(reps, lanes, keys or pigeonhole(most, most + 2), most), "rep").select(*names, "least", "root"), "fingerprint-classes")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(known.join(least, "root").select(*names, "component_id"), names)
 
@@ -324,33 +345,97 @@ def _few_links(reps: DataFrame, similarity: float) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """rep, shingles (sorted hashes, binary) of rows (rep, text)."""
+    """rep, root, n, shingles (n sorted hashes, binary) of rows (rep, root, text)."""
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or "", words)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
-
-    return texts.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
+            sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "root", "n", "shingles"])
+
+    return texts.select("rep", "root", "text").mapInArrow(run, "rep long, root long, n long, shingles binary")
+
+
+def alike_forest(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of places that join what all pairs of sets (none empty) of this Jaccard similarity join; sets of one root are joined already,
+    and where `side` has both values only sets of different sides are compared. Every pair is compared unless joined by others."""
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    first = np.cumsum(sizes) - sizes
+    mark, across = np.zeros(int(ids.max(initial=0)) + 1, bool), side.any()
+    out, unseen, left = [], np.ones(len(sets), bool), np.arange(len(sets))
+    flat, starts = ids, first
+    for start in range(len(sets)):
+        if not unseen[start]:
+            continue
+        stack = np.flatnonzero(unseen & (root == root[start])).tolist()
+        unseen[stack] = False
+        while stack and unseen.any():
+            if 2 * np.count_nonzero(unseen) < len(left):  # only what isn't joined yet
+                left = np.flatnonzero(unseen)
+                flat = np.concatenate([ids[first[i] : first[i] + sizes[i]] for i in left])
+                starts = np.cumsum(sizes[left]) - sizes[left]
+            at = stack.pop()
+            own = ids[first[at] : first[at] + sizes[at]]
+            mark[own] = True
+            shared = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[own] = False
+            good = unseen[left] & (shared >= similarity * (sizes[left] + sizes[at] - shared) - 1e-9)
+            found = left[good & (side[left] != side[at])] if across else left[good]
+            if len(found):
+                names, which = np.unique(root[found], return_index=True)
+                out += [(at, int(j)) for j in found[which]]
+                more = np.flatnonzero(unseen & np.isin(root, names))
+                unseen[more] = False
+                stack += more.tolist()
+    return out
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs (src, dst) of `reps` (rep, least) whose texts' sets of shingles have this Jaccard similarity or more."""
+def _alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) links between roots that join what all pairs of sets in a block do: rows (block, root, side, shingles)."""
     def run(batches):
+        def checked(block):
+            sets = [np.frombuffer(s, np.uint64) for s in block[2]]
+            root = np.array(block[0], np.int64)
+            pairs = alike_forest(sets, root, np.array(block[1], bool), similarity)
+            at = np.array(pairs, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(root[at[:, 0]]), pa.array(root[at[:, 1]])], names=["src", "dst"])
+
+        name, held = None, ([], [], [])
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(shared >= similarity * (len(a) + len(b) - shared))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    asked = pairs.select(F.col("src").alias("rep")).union(pairs.select("dst")).distinct().join(reps, "rep").select("rep", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
+            for block, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if block != name:
+                    if len(held[0]) > 1:
+                        yield checked(held)
+                    name, held = block, ([], [], [])
+                for column, x in zip(held, row):
+                    column.append(x)
+        if len(held[0]) > 1:
+            yield checked(held)
+
+    return rows.repartition("block").sortWithinPartitions("block").select("block", "root", "side", "shingles").mapInArrow(run, "src long, dst long")
+
+
+def alike_within(groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(src, dst): links that join the same rows as all pairs of one group (rep, root) whose shingle sets have this Jaccard similarity.
+
+    A group's sets meet in one task, as many as HASHES hashes or 4 x PART sets; a larger group goes in parts, first in linear work, with
+    a few sets that meet all of it, then between those different roots that are left. So each pair of a group is compared or joined already.
+    """
+    members = groups.join(groups.groupBy("root").count().filter("count > 1").select("root"), "root")
+    asked = members.join(reps, "rep").select("rep", "root", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
     texts = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
-    texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "text").dropDuplicates(["rep"])
+    texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "root", "text").dropDuplicates(["rep"])
     small_batches(docs.sparkSession)
-    sets = keep(_shingle_sets(texts, words), "shingle-sets")
-    both = pairs.join(sets.toDF("src", "a"), "src").join(sets.toDF("dst", "b"), "dst")
-    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    sets = keep(_shingle_sets(texts, words).filter("n > 0").withColumnRenamed("root", "block"), "shingle-sets")
+    share = F.least(F.lit(4 * PART), F.greatest(F.lit(1), (F.count("*") * HASHES / F.sum("n")).cast("long")))
+    sizes = keep(sets.groupBy("block").agg(F.count("*").alias("n"), share.alias("most")).filter("n > most"), "large-groups")
+    none = sizes.select("block", "n", "most", F.lit(0).cast("long").alias("of_main"), F.lit(0).cast("long").alias("main"))
+    found = keep(_alike(_parts(sets.withColumn("root", F.col("rep")), "block", none, True), similarity), "near-links")
+    if sizes.isEmpty():
+        return found
+    rows = keep(_joined(sets.join(sizes.select("block"), "block").withColumn("root", F.col("rep")), found), "large-group-roots")
+    main = rows.groupBy("block", "root").count().groupBy("block").agg(F.max("count").alias("of_main"), F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
+    open_ = keep(sizes.join(main.filter("roots > 1"), "block"), "open-groups")
+    return found.union(_alike(_parts(rows.join(open_.select("block"), "block"), "block", open_, False), similarity))
 
 
 def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 16, recall: float = 0.999) -> DataFrame:
@@ -358,11 +443,10 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
 
     Rows link where the sets of word shingles of their texts have a Jaccard similarity of `similarity` or more. Pairs of sets so small
     that one hash at most may be missing (9 at 0.8) are found by their remainders, all of them. Of others, fingerprints of 64 x `lanes`
-    bits find such a pair with a chance of `recall` or more, by a common key, the distance over 128 bits and that over all bits, at the
-    largest share of differing bits of any set sizes; last comes the exact similarity. A
-    key has so many bits that unlike texts fill a block with 512 rows at most, at any size; the number of keys follows from that. Of a
-    block of over eight rows first a minimum spanning forest is checked, of others all pairs; then all its other pairs that these links
-    have not joined, so every pair of a block is checked or joined already.
+    bits reach such a pair with a chance of `recall` or more, by a common key and the distance over 128 bits, at the largest share of
+    differing bits of any set sizes. What fingerprints join is a group (see reached); in each group all pairs of sets are then compared
+    exactly, save those that exact links join already, so that a fingerprint never decides. A key has so many bits that unlike texts fill
+    a block with 512 rows at most, at any size; the number of keys follows from that.
     component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows.
     """
     names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
@@ -371,24 +455,12 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     few = max(1, math.ceil(2 / (1 - similarity) - 1e-9) - 1)
     own = keep(fingerprints(docs.select(who.alias("doc_id"), "text"), words, lanes, repeats=False, few=few), "fingerprints")
     reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least"), F.min("few").alias("few")).withColumn("rep", F.xxhash64(*names)), "distinct-fingerprints")
-    share, lost = most_differing(similarity, few), 1 - recall
-    near_bits, all_bits = _reach(128, share, 0.001), _reach(bits, share, lost / 10)
+    share = most_differing(similarity, few)
     wide = max(16, math.ceil(math.log2(max(2, reps.count()))) - 9)
-    keys = sampled_blocks(lanes, _keys_needed(bits, wide, share, all_bits, 0.999, lost), wide)
-    found = keep(links(reps, lanes, keys, near_bits, compared=2), "block-links")
-    ends = [reps.select(F.col("rep").alias(end), *(F.col(n).alias(end + n) for n in names)) for end in ("src", "dst")]
-    apart = sum((F.bit_count(F.col("src" + n).bitwiseXOR(F.col("dst" + n))) for n in names), F.lit(0))
-    near = keep(found.select("src", "dst").distinct().join(ends[0], "src").join(ends[1], "dst").filter(apart <= all_bits).select("src", "dst"), "candidates")
-    exact = keep(_alike(near, reps, docs, words, similarity).union(_few_links(reps, similarity)), "near-links")
-    roots = connected_components(exact).withColumnRenamed("node", "rep")
-    members = found.filter("block IS NOT NULL").select("block", F.explode(F.array("src", "dst")).alias("rep")).distinct()
-    members = keep(members.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "block-members")
-    mixed = members.groupBy("block").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("block")
-    rest = _pairs_across(members.join(mixed, "block").join(reps, "rep"), lanes, all_bits).distinct()
-    rest = keep(rest.join(near, ["src", "dst"], "left_anti"), "further-candidates")
-    if not rest.isEmpty():
-        roots = connected_components(exact.union(_alike(rest, reps, docs, words, similarity))).withColumnRenamed("node", "rep")
-    known = keep(reps.join(roots, "rep", "left").select(*names, "least", F.coalesce("root", "rep").alias("root")), "fingerprint-classes")
+    keys = sampled_blocks(lanes, _keys_needed(bits, wide, share, bits, 0.999, 1 - recall), wide)
+    groups = reached(reps, lanes, keys, _reach(128, share, 0.001), compared=2)
+    exact = alike_within(groups, reps, docs, words, similarity).union(_few_links(reps, similarity))
+    known = keep(_joined(reps.select("rep", "least", *names, F.col("rep").alias("root")), exact), "fingerprint-classes")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.drop("few").join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
 
