@@ -1,9 +1,12 @@
 """Operators over vectors, pages and conversations, and the pipeline, held against brute force and DuckDB."""
 
 import collections
+import glob
 import gzip
 import hashlib
 import math
+import os
+import re
 
 import numpy as np
 import pytest
@@ -116,6 +119,37 @@ def test_forest_keeps_the_links_of_a_dense_group(spark, others):
     assert 0.99 * want < found < 1.001 * want
 
 
+@pytest.mark.parametrize("case", ["multiples", "one_dimension", "a_third_of_one_direction"])
+def test_forest_ends_where_projections_are_equal(spark, case):
+    rng = np.random.default_rng(5)
+    if case == "multiples":
+        x = np.outer(1 + np.arange(5000), rng.standard_normal(8))
+    elif case == "one_dimension":
+        x = (1.0 + np.arange(5000))[:, None] * np.where(np.arange(5000) % 2, 1, -1)[:, None]
+    else:
+        x = np.vstack([np.outer(2.0 ** np.arange(-60, 60), rng.standard_normal(8)), rng.standard_normal((240, 8))])
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = np.count_nonzero(unit @ unit.T >= 0.9) - len(x)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    rows = op7_forest.near_vectors(df, leaf=1000 if len(x) > 1000 else 20).selectExpr("sum(n_links) AS n", "max(component_id) AS most").first()
+    assert 0.99 * want <= rows["n"] <= want
+    assert case != "multiples" or rows["most"] == 0
+
+
+def test_forest_recall_of_planted_links(spark):
+    """Leaves of 100 vectors, so that trees are deep, and 8,000 vectors in pairs and small groups on either side of the threshold."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((2000, 32))
+    x = np.repeat(centres, 4, axis=0) + rng.standard_normal((8000, 32)) * np.repeat(rng.uniform(0.05, 0.45, 2000), 4)[:, None]
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.9
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in op7_forest.near_vectors(df, leaf=100).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.97 * want.sum() > 5000
+
+
 def test_no_vectors(vectors):
     assert op7_forest.near_vectors(vectors[0].limit(0)).count() == 0
 
@@ -152,6 +186,41 @@ def test_archives_round_trip(spark, tmp_path, compression):
             assert bytes(rows[i]["payload"]) == data
 
 
+def test_damage_costs_the_records_that_it_hits(spark, tmp_path):
+    """One archive with a member for each record: bytes are flipped, cut out and put in, and all other records come back."""
+    rng = np.random.default_rng(3)
+    pages = [(i, f"http://h/{i}", bytes(rng.integers(32, 127, 300 + i, dtype=np.uint8)).decode()) for i in range(1000)]
+    op6_warc.write_warc(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w", date="2020-01-01T00:00:00Z")
+    file = max(glob.glob(f"{tmp_path}/w/small/part-*"), key=os.path.getsize)
+    with open(file, "rb") as f:
+        data = bytearray(f.read())
+    assert len(gzip.decompress(data)) > 100_000  # an ordinary archive
+    ends = [m.start() for m in re.finditer(re.escape(op6_warc.GZIP), bytes(data))]
+    data[ends[120] : ends[120]] = b"garbage"
+    data[ends[110] : ends[110] + 9] = b""
+    for k in (3, 50, 51, 100):
+        data[ends[k] + 40] ^= 0x5A
+    with open(file, "wb") as f:
+        f.write(bytes(data))
+    for checksum in glob.glob(f"{tmp_path}/w/small/.*.crc"):
+        os.remove(checksum)
+    found = op6_warc.read_warc(spark, f"{tmp_path}/w")
+    back = {int(r["record_id"]) for r in found.filter("problem IS NULL").collect()}
+    assert len(back) == 995
+    assert op6_warc.quarantined(found, 995).count() == 5  # neighbours share a gap, or what was put in has its own
+    with pytest.raises(ValueError):
+        op6_warc.quarantined(found, 1000)
+
+
+def test_long_records_go_on_in_more_members(spark, tmp_path):
+    html = "".join(chr(97 + i % 26) * (i % 7) for i in range(600_000))
+    op6_warc.write_warc(spark.createDataFrame([(1, "u", html * 10), (2, "u", html * 10), (3, "u", "z" * 200)], "page_id long, url string, html string"), f"{tmp_path}/w")
+    assert len(html) * 10 > op6_warc.MEMBER
+    rows = {r["record_id"]: r for r in op6_warc.read_warc(spark, f"{tmp_path}/w").collect()}
+    assert {k: r["record_type"] for k, r in rows.items()} == {"1": "response", "2": "revisit", "3": "response"}
+    assert rows["1"]["payload_bytes"] == len(html) * 10 == rows["2"]["payload_bytes"] and rows["2"]["refers_to"] == "1"
+
+
 def records(n):
     out = []
     for i in range(n):

@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import random
 import re
 import struct
 import zlib
 
+import numpy as np
 import pytest
 
 from quillspark.llm import op1_quality, op3_bpe, op4_simhash, op5_pii, op9_packing, op10_secrets
@@ -159,6 +161,43 @@ def test_plan_places_every_length():
 # SimHash
 
 
+@pytest.mark.parametrize("lengths, n", [((1300, 1400, 1396), 900), ((1000, 1300, 1796), 500), ((700, 900, 1100, 1396), 400)])
+def test_plan_finds_the_patterns_that_fill_sequences(lengths, n):
+    sequences = op9_packing.plan({x: n for x in lengths})
+    assert sum(k for k, _ in sequences) == n
+    assert sum(k for k, _ in op9_packing.best_fit({x: n for x in lengths}, 4096)) > n
+
+
+def test_plan_against_the_optimum_on_small_sizes():
+    def optimum(lengths, size):  # tries all ways
+        best = [len(lengths)]
+
+        def go(i, gaps):
+            if len(gaps) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(gaps)
+                return
+            for at in range(len(gaps)):
+                if gaps[at] >= lengths[i] and gaps[at] not in gaps[:at]:
+                    go(i + 1, gaps[:at] + [gaps[at] - lengths[i]] + gaps[at + 1 :])
+            go(i + 1, gaps + [size - lengths[i]])
+
+        go(0, [])
+        return best[0]
+
+    rng, least, got = random.Random(6), 0, 0
+    for _ in range(150):
+        size = rng.randint(12, 40)
+        lengths = sorted((rng.randint(size // 6, size // 2) for _ in range(rng.randint(1, 11))), reverse=True)
+        sequences = op9_packing.plan(collections.Counter(lengths), size)
+        assert collections.Counter(x for k, own in sequences for x, m in own.items() for _ in range(k * m)) == collections.Counter(lengths)
+        assert all(sum(x * m for x, m in own.items()) <= size for _, own in sequences)
+        least += optimum(lengths, size)
+        got += sum(k for k, _ in sequences)
+    assert least <= got <= 1.01 * least
+
+
 def simhash(text, words=3):
     import xxhash
 
@@ -250,6 +289,47 @@ def test_links_within_a_dense_family(spark):
     assert {r["doc_id"]["doc_id"]: r["component_id"]["doc_id"] for r in rows} == {i: i % 1000 for i, _ in own}
 
 
+def test_groups_of_near_texts_in_parts(spark, monkeypatch):
+    """Groups larger than a task: some of one root with others that are near it or not, and a family of which few are alike."""
+    monkeypatch.setattr(op4_simhash, "PART", 6)
+    monkeypatch.setattr(op4_simhash, "HASHES", 2000)
+    monkeypatch.setattr(op4_simhash, "HUBS", 2)
+    rng = random.Random(4)
+    own = []
+    for i in range(120):  # one root: a text and its variants; some of these differ too much from all others
+        w = [f"one{j}" for j in range(100)]
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            w[rng.randrange(100)] = f"new{i}x{rng.random()}"
+        own.append((i, w))
+    for i in range(60):  # alike at about 0.75; a third have a partner
+        own.append((1000 + i, [f"two{j}" for j in range(90)] + [f"own{i // 2 if i < 20 else i}x{j}" for j in range(15)] + [f"end{i}"]))
+    texts = [(i, " ".join(w)) for i, w in own]
+    sets = {i: shingles(t) for i, t in texts}
+    ids = [i for i, _ in texts]
+    roots = components(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert len(set(roots.values())) > 45
+    rows = op4_simhash.near_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]["doc_id"]: r["component_id"]["doc_id"] for r in rows} == roots
+
+
+def test_forest_of_alike_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(1, 25))
+        sets = [np.unique(rng.integers(0, 9, int(rng.integers(1, 9)))).astype(np.uint64) for _ in range(n)]
+        root, side = rng.integers(0, n, n), rng.integers(0, 2, n).astype(bool)
+        for across in (side, np.zeros(n, bool)):
+            def both(a, b):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                return shared >= 0.5 * (len(sets[a]) + len(sets[b]) - shared) and (not across.any() or across[a] != across[b])
+
+            same = [(a, b) for a in range(n) for b in range(a) if root[a] == root[b]]
+            alike = [(a, b) for a in range(n) for b in range(a) if root[a] != root[b] and both(a, b)]
+            got = op4_simhash.alike_forest(sets, root, across, 0.5)
+            assert all(both(a, b) for a, b in got)
+            assert components(range(n), same + alike) == components(range(n), same + got)
+
+
 def test_short_texts_that_differ_by_words_at_the_end(spark):
     """8 and 9 words: 4 of 5 shingles. 16 and 19 words: 12 of 15 shingles. Both are 0.8 exactly."""
     own = []
@@ -313,6 +393,61 @@ def test_surrogates_are_keyed_and_distinct(spark):
     assert not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_names_are_one_in_a_document_and_by_gender_and_script(spark):
+    out = pseudonymised(spark, [
+        "Frau Anna Schmidt met us. Anna Schmidt said hi. My name is Anna. SCHMIDT left, schmidt too",
+        "my name is Sophie Martin", "Dr. Jane Roe and Prof. Roe", "Contact: Jane Roe", "Dear John Smith, Dear Sir", "Mr. 王伟 and Ms. 김민지 and Mr. Jane",
+        "iban DE89 3704 0044 0532 0130 00 or DE89370400440532013000, not DE88 3704 0044 0532 0130 00; 2001:db8::8a2e:370:7334, 12:30:45; Tel: 5551234567, 020 7946 0958; 5551234567",
+    ])
+    m = re.fullmatch(r"Frau (\w+) (\w+) met us\. (\w+) (\w+) said hi\. My name is (\w+)\. (\w+) left, schmidt too", out[0])
+    assert m and m[1] == m[3] == m[5] in op5_pii.GIVEN["latin", "f"].split() and m[2] == m[4] == m[6].title() != "Schmidt"
+    m = re.fullmatch(r"my name is (\w+) (\w+)", out[1])
+    assert m and m[1] != "Sophie" and not any(m[1] in names.split() for names in op5_pii.GIVEN.values())
+    a, b, c = re.fullmatch(r"Dr\. (\w+) (\w+) and Prof\. (\w+)", out[2]).groups()
+    assert b == c and out[3] == f"Contact: {a} {b}" and a != "Jane" and b != "Roe"
+    assert out[4].startswith("Dear ") and out[4].endswith(", Dear Sir") and not {"John", "Smith"} & set(re.findall(r"\w+", out[4]))
+    m = re.fullmatch(r"Mr\. (\w\w) and Ms\. (\w{3}) and Mr\. (\w+)", out[5])
+    assert m and set(m[1]) <= set(op5_pii.LETTERS["han"]) and set(m[2]) <= set(op5_pii.LETTERS["hangul"]) and m[1] != "王伟" and m[3] == a
+    m = re.fullmatch(r"iban (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20}), not DE88 3704 0044 0532 0130 00; ([0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f:]+), 12:30:45; Tel: (\d{10}), 0(\d\d \d{4} \d{4}); 5551234567", re.sub(r"Tel: (\d+), \d", r"Tel: \1, 0", out[6]))
+    assert m and m[1].replace(" ", "") == m[2] != "DE89370400440532013000" and m[3] != "2001:db8::8a2e:370:7334" and m[4] != "5551234567"
+    assert int(m[2][4:] + "1314" + m[2][2:4]) % 97 == 1
+
+
+def test_surrogates_against_a_plain_rewriting(spark):
+    """Texts of random entities and clean words: as many mentions as planted, one surrogate for each entity, all else as it was."""
+    rng = random.Random(11)
+    names = [(rng.choice(["Mr", "Mrs", "Dr"]), "".join(rng.choice("aeioulnrst") for _ in range(6)).title(), "".join(rng.choice("aeioulnrst") for _ in range(7)).title()) for _ in range(40)]
+    makers = [
+        lambda: ("{}{}@{}.org".format(rng.choice("abc"), rng.randrange(50), rng.choice(["x", "yy"])), 1),
+        lambda: (f"{rng.randrange(1, 255)}.{rng.randrange(256)}.7.{rng.randrange(1, 255)}", 1),
+        lambda: (f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", 1),
+        lambda: (f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}", 1),
+        lambda: ("{}. {} {}".format(*rng.choice(names)), 1),
+        lambda: ("plain words, number 12 and 3.5", 0), lambda: ("x" * rng.randrange(5), 0),
+    ]
+    texts = [[rng.choice(makers)() for _ in range(rng.randrange(6))] for _ in range(300)]
+    rows = op5_pii.pseudonymise(spark.createDataFrame([(i, " | ".join(x for x, _ in t)) for i, t in enumerate(texts)], "doc_id int, text string"), "k").collect()
+    to, back = {}, {}
+    for r in rows:
+        parts = r["text"].split(" | ") if texts[r["doc_id"]] else []
+        assert len(parts) == len(texts[r["doc_id"]])
+        assert r["n_entities"] == sum(n for _, n in texts[r["doc_id"]])
+        for (old, n), new in zip(texts[r["doc_id"]], parts):
+            if not n:
+                assert new == old
+            else:
+                for a, b in zip(old.split()[1:], new.split()[1:]) if ". " in old else [(old, new)]:
+                    assert a != b and to.setdefault(a, b) == b and back.setdefault(b, a) == a
+    assert len(to) > 250 and not set(to) & set(back)
+
+
+def test_surrogates_end_when_a_kind_is_exhausted(spark, monkeypatch):
+    monkeypatch.setattr(op5_pii, "DRAWS", 2)
+    entities = spark.createDataFrame([("ssn", str(i), "ssn") for i in range(10)], "kind string, norm string, type string")
+    with pytest.raises(ValueError):
+        op5_pii.surrogates(entities, "k")
+
+
 def test_pii_of_odd_rows(spark, docs):
     rows = op5_pii.pseudonymise(docs[0], "k").collect()
     assert len(rows) == len(docs[1])
@@ -367,6 +502,30 @@ def test_random_tokens_are_told_from_patterned_ones(spark):
     assert sum(rows[i] for i in range(200)) >= 190 and sum(rows[i] for i in range(200, 220)) <= 4
 
 
+def test_battery_follows_its_law_for_random_tokens(spark):
+    """Of random strings Fisher's combination exceeds the quantiles of chi-squared with six degrees of freedom about as often as it should."""
+    rng = random.Random(2)
+    alphabets = {"hex": "0123456789abcdef", "digits": "0123456789", "base62": op10_secrets.UPPER + op10_secrets.LOWER + "0123456789", "letters": op10_secrets.UPPER + op10_secrets.LOWER}
+    rows = [(f"{k}{n}", "".join(rng.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (20, 32, 64) for _ in range(600)]
+    scored = op10_secrets.randomness(spark.createDataFrame(rows, "kind string, token string"))
+    for r in scored.groupBy("kind").agg({"*": "count"}).join(scored.filter("pow(score, 3) > 12.592").groupBy("kind").count(), "kind").join(scored.filter("pow(score, 3) > 7.841").groupBy("kind").count().toDF("kind", "quarter"), "kind").collect():
+        assert 0.02 * 600 <= r["count"] <= 0.11 * 600 and 0.17 * 600 <= r["quarter"] <= 0.32 * 600
+
+
+def test_ordinary_tokens_are_not_reported(spark):
+    rng = random.Random(5)
+    own = "mountain river painting violin sunset kitchen garden winter journey castle bridge forest dragon wizard shadow thunder ocean planet engine rocket bottle basket candle".split()
+    words = lambda n: [rng.choice(own) for _ in range(n)]
+    texts = []
+    for _ in range(300):
+        texts += ["-".join(words(5)), "".join(w.title() for w in words(4)) + str(rng.randrange(100)), "/".join(words(5)), f"2024-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}_12-{rng.randrange(10, 60)}_{rng.choice(own)}", "".join(words(5))]
+    letters = op10_secrets.LOWER + op10_secrets.UPPER + "0123456789"
+    texts += ["".join(rng.choice(letters) for _ in range(40)) for _ in range(100)] + ["".join(rng.choice(letters[:52]) for _ in range(30)) for _ in range(50)]
+    rows = {r["doc_id"]: "random:" in r["spans"] for r in op10_secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert sum(rows[i] for i in range(1500)) <= 15
+    assert sum(rows[i] for i in range(1500, 1600)) >= 95 and sum(rows[i] for i in range(1600, 1650)) >= 45
+
+
 def test_secret_scan_runs_without_python(spark):
     plan = op10_secrets.secrets(spark.read.parquet(f"{TINY}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
