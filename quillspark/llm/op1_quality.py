@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import zlib
 
 import numpy as np
@@ -24,22 +23,24 @@ LABELLERS = ("symbols", "capitals", "marks", "repeats", "redundancy", "function_
 WIDTH = 1 << 16
 #: Texts are looked at together up to about this many characters (a longer one by itself).
 TOGETHER = 400_000
-_TOP = 0x3100  # code points from here on count as letters without case
+_TOP = 0x20000  # code points from here to 0x3FFFF are letters without case, later ones signs
 _SPACE, _LETTER, _CAPITAL, _ALNUM, _SIGN = 1, 2, 4, 8, 16
+_HELD: dict[str, object] = {}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """What kind of character each code point is, and its small letter."""
-    if "_quillspark_characters" not in sys.__dict__:
-        kind, small = np.zeros(_TOP + 1, np.uint8), np.zeros(_TOP + 1, np.uint64)
+    if "characters" not in _HELD:
+        kind, small = np.zeros(_TOP + 2, np.uint8), np.arange(_TOP + 2, dtype=np.uint64)
         for i in range(_TOP):
             c = chr(i)
-            sign = not (c.isalnum() or c.isspace() or c in ".,;:?'’-\"()")
-            kind[i] = _SPACE * c.isspace() | _LETTER * c.isalpha() | _CAPITAL * c.isupper() | _ALNUM * c.isalnum() | _SIGN * sign
-            small[i] = ord(c.lower()[0])
-        kind[_TOP] = _LETTER | _ALNUM
-        sys.__dict__["_quillspark_characters"] = kind, small
-    return sys.__dict__["_quillspark_characters"]
+            kind[i] = _SPACE * c.isspace() | _LETTER * c.isalpha() | _CAPITAL * c.isupper() | _ALNUM * c.isalnum() or _SIGN
+            if kind[i] & _CAPITAL:
+                small[i] = ord(c.lower()[0])
+        kind[[ord(c) for c in ".,;:?'’-\"()"]] = 0
+        kind[_TOP], kind[_TOP + 1] = _LETTER | _ALNUM, _SIGN
+        _HELD["characters"] = kind, small
+    return _HELD["characters"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +58,7 @@ class Words:
         cps = np.frombuffer("".join([t + " " for t in texts]).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.array([len(t) + 1 for t in texts])
         self.first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
-        cut = np.minimum(cps, _TOP)
+        cut = np.where(cps < _TOP, cps, np.where(cps < 0x40000, _TOP, _TOP + 1))
         self.kind = kinds[cut]
         space = (self.kind & _SPACE).astype(bool)
         self.start = np.flatnonzero(~space & np.r_[True, space[:-1]])
@@ -138,9 +139,9 @@ def votes(words: Words) -> list[str]:
 
 
 def _stop_hashes() -> np.ndarray:
-    if "_quillspark_stop" not in sys.__dict__:
-        sys.__dict__["_quillspark_stop"] = Words(sorted(STOP)).hash
-    return sys.__dict__["_quillspark_stop"]
+    if "stop" not in _HELD:
+        _HELD["stop"] = Words(sorted(STOP)).hash
+    return _HELD["stop"]
 
 
 def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, float]:
@@ -172,15 +173,11 @@ def label_model(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str, fl
     return dict(zip(patterns, good.tolist())), accuracy, share
 
 
-def features(words: Words, signs: list[str], of_votes: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hashed feature, weight) of all features, by text: words, shapes of words and words that follow themselves, whose weights
-    have length one in a text, and each vote with the weight `of_votes`."""
-    cast = np.array([[c != "0" for c in v] for v in signs], bool).reshape(-1, len(LABELLERS))
-    vote_doc, vote = np.nonzero(cast)
-    good = np.array([[c == "+" for c in v] for v in signs], bool).reshape(-1, len(LABELLERS))[vote_doc, vote]
-    votes_ = vote_doc, 2 + 2 * vote + good, np.full(len(vote), of_votes)
+def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hashed feature, weight) of all features, by text: words, shapes of words and words that follow themselves; the weights of
+    a text have length one. The labellers' votes are no features, so that the scorer learns from the text what they tell together."""
     if not len(words.start):
-        return votes_
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     letters, capitals, alnum = (words.per_word(bit) for bit in (_LETTER, _CAPITAL, _ALNUM))
     form = np.where((capitals > 1) & (capitals == letters), 1, np.where(capitals > 0, 2, np.where(letters > 0, 3, np.where(alnum > 0, 4, 5))))
     run = ~words.plain_end & (words.last == words.before) & (words.end - words.start > 1)
@@ -194,10 +191,7 @@ def features(words: Words, signs: list[str], of_votes: float = 0.3) -> tuple[np.
     found, at = np.unique(docs * WIDTH + names, return_inverse=True)
     doc, name = found // WIDTH, found % WIDTH
     weight = np.bincount(at, scale)
-    own = doc, name, np.sqrt(weight / np.bincount(doc, weight, len(words.texts))[doc])
-    doc, name, weight = (np.concatenate(x) for x in zip(own, votes_))
-    order = np.argsort(doc, kind="stable")
-    return doc[order], name[order], weight[order]
+    return doc, name, np.sqrt(weight / np.bincount(doc, weight, len(words.texts))[doc])
 
 
 def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 150, ridge: float = 1e-5) -> np.ndarray:
@@ -219,12 +213,13 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 1
     return w
 
 
-def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5, most: int = 2_000) -> DataFrame:
     """`docs` with votes, posterior (P(good) by the votes alone), score (P(good) by the scorer) and kept (score >= threshold).
 
-    Votes of every whole text are counted by pattern, the label model is fitted to all counts, and about `sample` rows (twice as many
-    at most), drawn from all of them, train the scorer with their posteriors as labels; it then scores every row. No row gets a label
-    from outside. Null texts count as empty; a text without words has no votes, and its score is that of the constant alone. Other
+    Votes of every whole text are counted by pattern, the label model is fitted to all counts, and about `sample` rows, drawn from all
+    of them by a hash of doc_id and text, train the scorer with their posteriors as labels, each with its `most` heaviest features (so the
+    driver gets 12 x `most` bytes a row at most); it then scores every row by all its features. No row gets a label from outside, and no
+    partitioning changes a score by more than rounding. Null texts count as empty; a text without words has no votes, and its score is that of the constant alone. Other
     columns and repeated rows stay; columns of the names above are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("votes", "posterior", "score", "kept")
@@ -245,14 +240,20 @@ def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5) -> Da
             for some in groups(batch.column(0).to_pylist()):
                 words = Words(some)
                 signs = votes(words)
-                doc, name, weight = features(words, signs)
+                doc, name, weight = features(words)
+                heavy = np.lexsort((name, -weight, doc))
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                heavy = np.sort(heavy[place < most])
+                doc, name, weight = doc[heavy], name[heavy], weight[heavy]
                 ends = np.searchsorted(doc, np.arange(1, len(some)))
                 cut = lambda x, kind: pa.array([part.astype(kind).tobytes() for part in np.split(x, ends)], pa.binary())
                 label = pa.array([posterior.get(v, share) for v in signs], pa.float64())
                 yield pa.RecordBatch.from_arrays([cut(name, "<i4"), cut(weight, "<f4"), label], names=["f", "w", "label"])
 
-    drawn = docs.select(text).filter(F.rand(7) < min(1.0, sample / max(1, n))).mapInArrow(featured, "f binary, w binary, label double")
-    rows = drawn.limit(2 * sample).collect()
+    below = min(1 << 40, (sample << 40) // max(1, n))
+    by = [F.col(c) for c in docs.columns if c in ("doc_id", "text")]
+    drawn = docs.filter(F.pmod(F.xxhash64(*by), F.lit(1 << 40)) < below).select(text).mapInArrow(featured, "f binary, w binary, label double")
+    rows = sorted(drawn.limit(4 * sample).collect(), key=lambda r: (r["f"], r["w"]))  # more than that only if very many rows are the same
     weights = fit_scorer([(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["w"], "<f4").astype(float), r["label"]) for r in rows])
 
     @F.pandas_udf("votes string, posterior double, score double, kept boolean")
@@ -261,7 +262,7 @@ def classify(docs: DataFrame, sample: int = 8_000, threshold: float = 0.5) -> Da
         for some in groups(texts.tolist()):
             words = Words(some)
             signs = votes(words)
-            doc, name, weight = features(words, signs)
+            doc, name, weight = features(words)
             found += signs
             scores.append(1 / (1 + np.exp(-np.clip(np.bincount(doc, weight * weights[name], len(some)) + weights[-1], -30, 30))))
         score = np.concatenate(scores) if scores else np.zeros(0)
