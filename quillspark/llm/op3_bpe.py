@@ -8,11 +8,13 @@ merges make, so a word has one path, and so has each of its prefixes.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
 import sys
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,6 +34,17 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def arc(ranks: dict[tuple[int, int], int], gadgets: tuple, spine: tuple) -> bool:
+    """Whether a state that these gadgets made has an arc of the token of this spine: a gadget that took the arc `e` away denies every
+    token that began with `e` as the arcs stood then."""
+    for a, made in gadgets:
+        for e, since, until in spine:
+            time = ranks.get((a, e))
+            if time is not None and time <= made and since < time <= until:
+                return False
+    return True
+
+
 class Automaton:
     """The compiled merges. A state is what a gadget of token `owner` at time `made` left of the older state `base` of that token."""
 
@@ -51,7 +64,6 @@ class Automaton:
         self.owner, self.made = [-1], [-1]
         self.target = dict.fromkeys(self.byte, 0)  # all arcs of a token lead to one state
         self.base = dict.fromkeys(self.byte, 0)  # that state as it was when the token was new
-        self.arcs: dict[tuple[int, int], bool] = {}
         self.ranks: dict[tuple[int, int], int] = {}
         for time, merge in enumerate(model["merges"]):
             a, b = (model["vocab"][x] for x in (merge if isinstance(merge, list) else merge.split(" ")))
@@ -59,8 +71,24 @@ class Automaton:
             if (a, b) in self.ranks or ab in self.born:
                 continue
             self._gadget(time, a, b, ab)
-        self.by_text = {s: i for i, s in self.label.items() if i in self.target}
-        self.longest = max(map(len, self.by_text))
+        # which tokens end at each byte of a word
+        self.ends = ahocorasick.Automaton()
+        for i in self.target:
+            self.ends.add_word(self.label[i].decode("latin-1"), (i, len(self.label[i])))
+        self.ends.make_automaton()
+        # of each token: what it began with, from when on, and until when, as the arcs of what it began with became its own
+        self.spine: dict[int, tuple] = {}
+        for token in self.target:
+            own, at, until = [], token, sys.maxsize
+            while at is not None:
+                since = self.born.get(at, -1)
+                own.append((at, since, until))
+                at, until = self.left.get(at), since
+            self.spine[token] = tuple(own)
+        # of each state: the gadgets that made it, the last one first
+        self.gadgets: list[tuple] = [()]
+        for state in range(1, len(self.owner)):
+            self.gadgets.append(((self.owner[state], self.made[state]), *self.gadgets[self.base[self.owner[state]]]))
 
     def _gadget(self, time: int, a: int, b: int, ab: int) -> None:
         self.ranks[a, b] = time
@@ -70,66 +98,51 @@ class Automaton:
         self.made.append(time)
         self.target[a] = len(self.owner) - 1
 
-    def has(self, state: int, token: int) -> bool:
-        """Whether the state has an arc of this token: it is told from the gadgets and then kept in the table."""
-        known = self.arcs.get((state, token))
-        if known is None:
-            known = True
-            spine = [token]
-            while spine[-1] in self.left:
-                spine.append(self.left[spine[-1]])
-            # a gadget that took the arc `e` away denies every token that began with `e` as the arcs stood then
-            denied = [(x, self.born.get(x, -1), self.born[spine[i - 1]] if i else sys.maxsize) for i, x in enumerate(spine)]
-            at, get = state, self.ranks.get
-            while at > 0 and known:
-                a, made = self.owner[at], self.made[at]
-                for e, since, until in denied:
-                    time = get((a, e))
-                    if time is not None and time <= made and since < time <= until:
-                        known = False
-                        break
-                at = self.base[a]
-            self.arcs[state, token] = known
-        return known
-
     def word(self, text: bytes) -> list[int]:
-        """Tokens of the word's one path. Longest tokens are tried first; a prefix whose path ends is left for good."""
-        n, longest, by_text, target, has = len(text), self.longest, self.by_text, self.target, self.has
-        dead: set[int] = set()
-        path: list[tuple[int, int, int]] = []  # (where a token begins, its id, its end)
-        at, state, end = 0, 0, min(n, longest)
-        while at < n:
-            while end > at:
-                token = by_text.get(text[at:end])
-                if token is not None and end not in dead and has(state, token):
-                    break
-                end -= 1
-            if end > at:
-                path.append((at, token, end))
-                at, state, end = end, target[token], min(n, end + longest)
-            else:  # each prefix has one path, so no path of the word goes through here
-                dead.add(at)
-                at, _, end = path.pop()
-                state = target[path[-1][1]] if path else 0
-                end -= 1
-        return [x[1] for x in path]
-
-
-def automaton(path: str) -> Automaton:
+        """Tokens of the word's one path, in one pass over the tables: each prefix has one path, so just one of the tokens that end there
+        goes on from where it begins, and where its arc leads is the prefix's state."""
+        target, label, ranks, spines, gadgets = self.target, self.label, self.ranks, self.spine, self.gadgets
+        states, by = [0] * (len(text) + 1), [-1] * (len(text) + 1)  # of the prefix of each length: its state, and its last token
+        for last, (token, size) in self.ends.iter(text.decode("latin-1")):
+            end = last + 1
+            if by[end] < 0:
+                state = gadgets[states[end - size]]
+                if not state or arc(ranks, state, spines[token]):
+                    states[end], by[end] = target[token], token
+        out, at = [], len(text)
+        while at:
+            out.append(by[at])
+            at -= len(label[by[at]])
+        return out[::-1]
+
+
+#: What a Python worker has compiled: (automaton, ids of the words it has met), by the vocabulary's digest.
+_COMPILED: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
+#: Words of up to 64 characters whose ids a worker keeps; when so many are kept it begins anew.
+CACHE = 400_000
+
+
+def vocabulary(path: str) -> str:
+    """The text of a tokenizer's file, read on the driver: tasks get it with the plan, so no executor needs the file."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def automaton(source: str) -> tuple[Automaton, dict[str, bytes]]:
     """Compiled once in a Python worker."""
-    kept = sys.__dict__.setdefault("_quillspark_automata", {})
-    if path not in kept:
-        with open(path, encoding="utf-8") as f:
-            kept[path] = Automaton(json.load(f)), {}
-    return kept[path]
+    name = hashlib.sha256(source.encode()).hexdigest()
+    if name not in _COMPILED:
+        _COMPILED[name] = Automaton(json.loads(source)), {}
+    return _COMPILED[name]
 
 
-_FAST = SPLIT.replace(r"\p{L}", "A-Za-zÀ-ÖØ-öø-ÿ").replace(r"\p{N}", "0-9").replace("A-Za-zÀ-ÖØ-öø-ÿ+", "[A-Za-zÀ-ÖØ-öø-ÿ]+").replace(" ?0-9+", " ?[0-9]+")
+#: SPLIT for texts of ASCII and Latin-1 letters.
+_FAST = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^{SPACE}A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 
-def encoder(path: str, cache: int = 600_000):
+def encoder(source: str):
     """A function from text to the bytes of its ids (little-endian, 32 bits)."""
-    machine, words = automaton(path)
+    machine, words = automaton(source)
     split, fast = regex.compile(SPLIT).findall, re.compile(_FAST).findall
     other = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
     special = re.compile("(" + "|".join(map(re.escape, machine.added)) + ")") if machine.added else None
@@ -147,7 +160,9 @@ def encoder(path: str, cache: int = 600_000):
                 packed = get(w)
                 if packed is None:
                     packed = b"".join(map(four, word(w.encode("utf-8", "surrogatepass"))))
-                    if len(words) < cache and len(w) < 64:
+                    if len(w) < 64:
+                        if len(words) >= CACHE:
+                            words.clear()
                         words[w] = packed
                 out.append(packed)
         return b"".join(out)
@@ -155,9 +170,9 @@ def encoder(path: str, cache: int = 600_000):
     return ids
 
 
-def decoder(path: str):
+def decoder(source: str):
     """A function from the bytes of ids to text: the labels of the arcs, read as UTF-8."""
-    machine, _ = automaton(path)
+    machine, _ = automaton(source)
     labels = [machine.label.get(i, b"") for i in range(max(machine.label) + 1)]
 
     def text(packed: bytes) -> str:
@@ -170,9 +185,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """Token ids of every whole text: doc_id, ids (little-endian unsigned 32-bit integers, binary). Null texts count as empty, and an
     empty text has no ids; strings of the vocabulary's added tokens become those tokens. Other columns don't matter."""
     small_batches(docs.sparkSession)
+    source = vocabulary(path)
 
     def run(batches):
-        ids = encoder(path)
+        ids = encoder(source)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(t.as_py() or "") for t in batch.column(1)], pa.binary())], names=["doc_id", "ids"])
 
@@ -182,8 +198,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Texts of what encode() returned: doc_id, ids, text. Bytes that are no UTF-8 become U+FFFD."""
+    source = vocabulary(path)
+
     def run(batches):
-        text = decoder(path)
+        text = decoder(source)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([text(x.as_py()) for x in batch.column(1)], pa.string())], names=["doc_id", "ids", "text"])
 
