@@ -1,16 +1,22 @@
-"""Chat formatting: conversations that begin alike are merged into prefix trees, and shared turns are written once, depth first."""
+"""Chat formatting: conversations that begin alike are merged into prefix trees, and shared turns are written once, depth first.
+
+A sequence holds the tokens of its tree's turns, each turn once, with position ids as if only a turn's ancestors stood before it and the
+intervals of ancestors' tokens that a turn attends to; beside them the text and the same intervals in characters.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches, table
+from .op3_bpe import encoder, vocabulary
 
 #: The template's own marks: a turn is TURN role TEXT text END.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -18,9 +24,12 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = r"<(?=[|]|/?s>)|\[(?=/?INST\])"
 _ONE_TURN = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>", re.S)
 SPAN = "struct<start:int,end:int>"
-NODE = f"struct<start:int,end:int,parent:int,position:int,loss:{SPAN},attends:array<{SPAN}>>"
+NODE = f"struct<start:int,end:int,parent:int,position:int,loss:{SPAN},attends:array<{SPAN}>,tokens:{SPAN},loss_tokens:{SPAN},attends_tokens:array<{SPAN}>>"
 _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-_NODE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("loss", _SPAN), ("attends", pa.list_(_SPAN))])
+_NODE = pa.struct([
+    ("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("loss", _SPAN), ("attends", pa.list_(_SPAN)),
+    ("tokens", _SPAN), ("loss_tokens", _SPAN), ("attends_tokens", pa.list_(_SPAN)),
+])
 _LEAVES = pa.list_(pa.struct([("key", pa.string()), ("node", pa.int32())]))
 
 
@@ -36,20 +45,29 @@ def unescape(text: str) -> str:
 def conversations_of(rows: DataFrame) -> DataFrame:
     """conv_id, key (a digest), turns (formatted, in order) of each conversation of rows(conv_id, turn, role, text).
 
-    Rows stand by turn (null first), then role and text; repeated rows are repeated turns. Rows without conv_id belong to none.
+    Rows stand by turn (null first), then role and text; repeated rows are repeated turns. Rows without conv_id are one conversation
+    without id. A conversation's turns meet in one task, as they are one text to train on.
     """
-    rows = rows.filter("conv_id IS NOT NULL")
     turn = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT), escaped(F.col("text")), F.lit(END))
     rows = rows.select("conv_id", F.struct("turn", turn.alias("s")).alias("t"))
     out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"))["s"].alias("turns"))
     return out.withColumn("key", F.sha2(F.array_join("turns", "").cast("binary"), 256))
 
 
+def _and_parent(attends: list[dict], start: int, end: int) -> list[dict]:
+    """The intervals that a node attends to with its parent's own, joined where they touch."""
+    if attends and attends[-1]["end"] == start:
+        return [*attends[:-1], {"start": attends[-1]["start"], "end": end}]
+    return [*attends, {"start": start, "end": end}]
+
+
 class _Tree:
-    """The sequence that is being written: its text, its nodes, and the path to the last conversation."""
+    """The sequence that is being written: its text and tokens, its nodes, and the path to the last conversation."""
 
-    def __init__(self):
+    def __init__(self, encode):
+        self.encode = encode
         self.parts, self.size, self.nodes, self.leaves, self.path = [], 0, [], [], []
+        self.ids, self.positions = [], []
 
     def new(self, turns: list[str]) -> int:
         """How many of the turns are not on the path yet."""
@@ -66,57 +84,71 @@ class _Tree:
         for turn in turns[len(turns) - fresh :]:
             parent = self.path[-1][1] if self.path else -1
             above = self.nodes[parent] if self.path else None
-            attends = []
-            if above:
-                attends = list(above["attends"])
-                if attends and attends[-1]["end"] == above["start"]:
-                    attends[-1] = {"start": attends[-1]["start"], "end": above["end"]}
-                else:
-                    attends.append({"start": above["start"], "end": above["end"]})
-            start, end, loss = self.size, self.size + len(turn), None
-            if turn.startswith(f"{TURN}assistant{TEXT}"):
-                loss = {"start": start + len(f"{TURN}assistant{TEXT}"), "end": end - len(END)}
-            position = above["position"] + above["end"] - above["start"] if above else 0
-            self.nodes.append({"start": start, "end": end, "parent": parent, "position": position, "loss": loss, "attends": attends})
+            start, end, first = self.size, self.size + len(turn), len(self.ids)
+            position = self.positions[above["tokens"]["end"] - 1] + 1 if above else 0
+            head = len(f"{TURN}assistant{TEXT}") if turn.startswith(f"{TURN}assistant{TEXT}") else 0
+            at = [first]
+            for part in (turn[:head], turn[head : -len(END)], END):  # each for itself, so that the loss begins and ends between two tokens
+                self.ids += self.encode(part)
+                at.append(len(self.ids))
+            self.positions += range(position, position + len(self.ids) - first)
+            self.nodes.append({
+                "start": start, "end": end, "parent": parent, "position": position, "loss": {"start": start + head, "end": end - len(END)} if head else None,
+                "attends": _and_parent(above["attends"], above["start"], above["end"]) if above else [],
+                "tokens": {"start": first, "end": len(self.ids)}, "loss_tokens": {"start": at[1], "end": at[2]} if head else None,
+                "attends_tokens": _and_parent(above["attends_tokens"], above["tokens"]["start"], above["tokens"]["end"]) if above else [],
+            })
             self.path.append((turn, len(self.nodes) - 1))
             self.parts.append(turn)
             self.size = end
         self.leaves.append({"key": key, "node": self.path[-1][1]})
 
 
-def prefix_trees(conversations: DataFrame, most: int = 65_536) -> DataFrame:
-    """sequence_id, text, nodes, leaves: distinct conversations (key, turns) as depth-first walks over prefix trees.
+def prefix_trees(conversations: DataFrame, most: int = 65_536, path: str | None = None) -> DataFrame:
+    """sequence_id, text, ids, positions, nodes, leaves: distinct conversations (key, turns) as depth-first walks over prefix trees.
 
-    A node is one turn: where it stands in `text`, its parent node (-1: none), the position id of its first character (the others count
-    on, as if only its ancestors stood before it), the span under the loss mask (the text of an assistant's turn), and the ancestor
-    spans that it attends to besides its own characters before. A leaf names the node that ends a conversation. A sequence has at most
-    `most` characters unless one conversation is longer; the next one repeats the ancestors it needs, so a tree of any size is spread
-    over tasks: conversations are range-partitioned and sorted by the hashes of their turns, which puts those that begin alike side by side.
+    ids are the tokens of `text` by the byte-level vocabulary at `path`, turn by turn; positions holds each token's position id, which
+    counts on from the end of its turn's parent, as if only its ancestors stood before it. A node is one turn: where it stands in `text`
+    and (tokens) in ids, its parent node (-1: none), the position id of its first token, the span under the loss mask (the text of an
+    assistant's turn) in characters and tokens, and the ancestor spans that it attends to besides its own before, in characters and
+    tokens. A leaf names the node that ends a conversation. A sequence has at most `most` characters unless one conversation is longer;
+    the next one repeats the ancestors it needs, so a tree of any size is spread over tasks: conversations are range-partitioned and
+    sorted by the hashes of their turns, which puts those that begin alike side by side.
     """
     small_batches(conversations.sparkSession)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    source = vocabulary(path)
 
     def walk(batches):
-        part, n, tree = TaskContext.get().partitionId(), 0, _Tree()
+        packed = encoder(source)
+        encode = lambda s: np.frombuffer(packed(s), "<u4").tolist()
+        part, n, tree = TaskContext.get().partitionId(), 0, _Tree(encode)
 
         def written():
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n], pa.int64()), pa.array(["".join(tree.parts)]), pa.array([tree.nodes], pa.list_(_NODE)), pa.array([tree.leaves], _LEAVES)],
-                names=["sequence_id", "text", "nodes", "leaves"],
-            )
+                [
+                    pa.array([part << 32 | n], pa.int64()), pa.array(["".join(tree.parts)]), pa.array([tree.ids], pa.list_(pa.int32())),
+                    pa.array([tree.positions], pa.list_(pa.int32())), pa.array([tree.nodes], pa.list_(_NODE)), pa.array([tree.leaves], _LEAVES),
+                ],
+                names=["sequence_id", "text", "ids", "positions", "nodes", "leaves"],
+            )
 
         for batch in batches:
             for key, turns in zip(batch.column(0).to_pylist(), batch.column(1)):
                 turns = turns.as_py()
                 if tree.leaves and tree.size + sum(map(len, turns[len(turns) - tree.new(turns) :])) > most:
                     yield written()
-                    tree, n = _Tree(), n + 1
+                    tree, n = _Tree(encode), n + 1
                 tree.add(key, turns)
         if tree.leaves:
             yield written()
 
     ordered = conversations.select("key", "turns", F.transform("turns", lambda t: F.xxhash64(t)).alias("path"))
     ordered = ordered.repartitionByRange("path", "key").sortWithinPartitions("path", "key").select("key", "turns")
-    return ordered.mapInArrow(walk, f"sequence_id long, text string, nodes array<{NODE}>, leaves array<struct<key:string,node:int>>")
+    return ordered.mapInArrow(walk, f"sequence_id long, text string, ids array<int>, positions array<int>, nodes array<{NODE}>, leaves array<struct<key:string,node:int>>")
 
 
 def read_back(sequences: DataFrame) -> DataFrame:
@@ -167,7 +199,7 @@ QUERIES = {"op8_chat_trees": op8_chat_trees}
 ORACLE = {
     "op8_chat_trees": r"""
 WITH r AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, replace(replace(replace(replace(replace(replace(role || text, '\', '\\'), '<|', '<\|'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS x FROM r)
