@@ -6,9 +6,9 @@ has at most `size` entries however many documents there are; documents then look
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
-import sys
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep, small_batches, table
+from .op3_bpe import vocabulary
 
 SIZE, END_ID = 4096, 1
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s\x85\xa0a-z0-9ß-öø-ÿ]+").findall
@@ -27,21 +28,26 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\s\x85\xa
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9fÀ-ÖØ-öø-ÿ]|<\\|startoftext\\|>|<\\|endoftext\\|>").search
 
 
-def token_bytes(path: str, cache: int = 600_000):
-    """A function from a list of texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them with
-    add_special_tokens=False. Words are tokenized once in a worker and then looked up, as the vocabulary's merges never cross words."""
-    kept = sys.__dict__.setdefault("_quillspark_word_ids", {})
-    if path not in kept:
+#: What a Python worker holds: (tokenizer, ids of the words it has met), by the vocabulary's digest.
+_HELD: dict[str, tuple] = {}
+
+
+def token_bytes(source: str, cache: int = 400_000):
+    """A function from a list of texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them for the
+    vocabulary with this text, with add_special_tokens=False. Words are tokenized once in a worker and then looked up, as the vocabulary's
+    merges never cross words; when `cache` words are held it begins anew."""
+    name = hashlib.sha256(source.encode()).hexdigest()
+    if name not in _HELD:
         import os
 
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(source)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        kept[path] = tokenizer, {}
-    tokenizer, words = kept[path]
+        _HELD[name] = tokenizer, {}
+    tokenizer, words = _HELD[name]
     pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(texts: list[str]) -> list[bytes]:
@@ -54,13 +60,11 @@ def token_bytes(path: str, cache: int = 600_000):
                 split[i] = _WORDS(text.lower())
         new = list(set().union(*split.values()).difference(words)) if split else []
         own = dict(zip(new, (pack(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False))))
-        for w in new:
-            if len(words) >= cache:
-                break
-            if len(w) < 64:
-                words[w] = own[w]
         for i, found in split.items():
             out[i] = b"".join([words[w] if w in words else own[w] for w in found])
+        if len(words) >= cache:
+            words.clear()
+        words.update((w, ids) for w, ids in own.items() if len(w) < 64)
         return out
 
     return ids
@@ -69,9 +73,10 @@ def token_bytes(path: str, cache: int = 600_000):
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece of a document's ids with the end id; only longer documents are cut."""
     small_batches(docs.sparkSession)
+    source = vocabulary(path)
 
     def run(batches):
-        tokens, end = token_bytes(path), struct.pack("<I", end_id)
+        tokens, end = token_bytes(source), struct.pack("<I", end_id)
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
