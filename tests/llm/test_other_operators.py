@@ -9,10 +9,11 @@ import os
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 import __spark_entry__
-from quillspark.llm import op2_topk, op6_warc, op7_forest, op8_chat, registry
+from quillspark.llm import op2_topk, op3_bpe, op6_warc, op7_forest, op8_chat, registry
 from quillspark.llm.components import connected_components
 from quillspark.llm.common import spare
 
@@ -269,9 +270,8 @@ def test_chats_read_back(spark, chats, most):
     found = {r["conv_id"]: r for r in ids.join(op8_chat.read_back(sequences), "key").collect()}
     own = collections.defaultdict(list)
     for c, t, role, text, in rows:
-        if c is not None:
-            own[c].append((t is not None, t or 0, role or "", text or ""))
-    assert sorted(found) == sorted(own)
+        own[c].append((t is not None, t or 0, role or "", text or ""))
+    assert set(found) == set(own)
     for c, turns in own.items():
         turns.sort()
         loss = "".join(x for _, _, role, x in turns if role == "assistant")
@@ -279,20 +279,28 @@ def test_chats_read_back(spark, chats, most):
         assert found[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest()
         assert found[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     written = sequences.collect()
+    text_of = op3_bpe.decoder(op3_bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    decoded = lambda ids: text_of(np.array(ids, "<u4").tobytes())
     for s in written:
-        at = 0
+        at = first = 0
+        assert decoded(s["ids"]) == s["text"] and len(s["ids"]) == len(s["positions"])
         for n in s["nodes"]:  # depth first, nothing between, positions and attention as if only ancestors stood before
-            assert n["start"] == at
-            at = n["end"]
-            attended = sum(a["end"] - a["start"] for a in n["attends"])
-            assert attended == n["position"] and (n["parent"] == -1) == (n["position"] == 0)
-            ancestors, p = [], n["parent"]
-            while p >= 0:
-                ancestors.append((s["nodes"][p]["start"], s["nodes"][p]["end"]))
-                p = s["nodes"][p]["parent"]
-            inside = {i for a, b in ancestors for i in range(a, b)}
-            assert inside == {i for a in n["attends"] for i in range(a["start"], a["end"])}
-        assert at == len(s["text"])
+            tokens = n["tokens"]
+            assert n["start"] == at and tokens["start"] == first
+            at, first = n["end"], tokens["end"]
+            assert decoded(s["ids"][tokens["start"] : first]) == s["text"][n["start"] : at]
+            if n["loss"]:
+                assert decoded(s["ids"][n["loss_tokens"]["start"] : n["loss_tokens"]["end"]]) == s["text"][n["loss"]["start"] : n["loss"]["end"]]
+            assert s["positions"][tokens["start"] : first] == list(range(n["position"], n["position"] + first - tokens["start"]))
+            assert sum(a["end"] - a["start"] for a in n["attends_tokens"]) == n["position"] and (n["parent"] == -1) == (n["position"] == 0)
+            for span, attends in (((lambda x: (x["start"], x["end"])), n["attends"]), ((lambda x: (x["tokens"]["start"], x["tokens"]["end"])), n["attends_tokens"])):
+                ancestors, p = [], n["parent"]
+                while p >= 0:
+                    ancestors.append(span(s["nodes"][p]))
+                    p = s["nodes"][p]["parent"]
+                inside = {i for a, b in ancestors for i in range(a, b)}
+                assert inside == {i for a in attends for i in range(a["start"], a["end"])}
+        assert at == len(s["text"]) and first == len(s["ids"])
     if most > 1000:
         assert sum(len(s["text"]) for s in written) < sum(r["formatted_chars"] for r in found.values()) / 2
 

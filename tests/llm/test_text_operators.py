@@ -70,6 +70,17 @@ def test_classifier_agrees_with_held_out_labels(spark):
     assert sum(not r["kept"] for r in rows if r["quality"] == 1) == 0
 
 
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, other = ({r["doc_id"]: r["score"] for r in op1_quality.classify(x, sample=300).collect()} for x in (df, df.repartition(5)))
+    assert all(abs(one[i] - other[i]) < 1e-6 for i in one)
+
+
+def test_kinds_of_characters():
+    words = op1_quality.Words(["中文 \U00020000 a", "😀 \ufffd \ue000 \U000f0000"])
+    assert words.per_text(op1_quality._SIGN).tolist() == [0, 4] and words.per_text(op1_quality._LETTER).tolist() == [4, 0]
+
+
 def test_classifier_returns_every_row(docs):
     found = op1_quality.classify(docs[0])
     assert [c for c in found.columns if c in ("votes", "posterior", "score", "kept")] == ["votes", "posterior", "score", "kept"]
@@ -109,7 +120,7 @@ def test_bpe_as_the_library(docs):
 def test_automaton_of_random_words():
     import random
 
-    machine, t = op3_bpe.automaton(path("byte_bpe_50k.json"))[0], tokenizer("byte_bpe_50k.json")
+    machine, t = op3_bpe.automaton(op3_bpe.vocabulary(path("byte_bpe_50k.json")))[0], tokenizer("byte_bpe_50k.json")
     rng = random.Random(5)
     for _ in range(3000):
         w = "".join(rng.choice("aaabethinosrl") for _ in range(rng.randrange(1, 30)))
