@@ -20,8 +20,8 @@ def trim_text(s: Column, strip: str = " ", side: str = "both") -> Column:
     """Strips repeats of a whole string (not of its characters) from one side or both."""
     p = f"(?:{re.escape(strip)})+"
     if side in ("both", "leading"):
-        s = F.regexp_replace(s, f"^{p}", "")
-    return F.regexp_replace(s, f"{p}$", "") if side in ("both", "trailing") else s
+        s = F.regexp_replace(s, rf"\A{p}", "")
+    return F.regexp_replace(s, rf"{p}\z", "") if side in ("both", "trailing") else s
 
 
 def to_number(x: Column, kind: str = "string") -> Column:
@@ -60,21 +60,36 @@ def hex_to_binary(s: Column) -> Column:
     return F.unhex(s)
 
 
+#: How dates are written in an English locale, short, medium, long and full; these are tried after yyyy-MM-dd.
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yy", "MMM d, yyyy", "MMMM d, yyyy", "EEEE, MMMM d, yyyy")
+
+
 def date_ob(x: Column | None = None, kind: str = "string") -> Column:
-    """A date: today without an argument or for null, milliseconds since 1970, or text as yyyy-MM-dd (null where it is none)."""
+    """A date: today without an argument or for null, milliseconds since 1970, or text in one of DATE_FORMATS (null where it is in none).
+    A weekday is not checked against the date."""
     if x is None:
         return F.current_date()
-    own = F.to_date(F.timestamp_millis(x.cast("long"))) if kind == "number" else F.try_to_timestamp(x, F.lit("yyyy-MM-dd")).cast("date")
+    if kind == "number":
+        own = F.to_date(F.timestamp_millis(x.cast("long")))
+    else:
+        short = F.when(x.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), x)  # two digits of a year are of this century
+        text = F.regexp_replace(x, r"^[A-Za-z]+, (?=[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$)", "")
+        tries = [F.try_to_timestamp(short, F.lit("M/d/yy"))] + [F.try_to_timestamp(F.when(text.rlike(shape), text), F.lit(form)) for form, shape in (
+            ("yyyy-MM-dd", "^[0-9]{4}-"), ("MMM d, yyyy", "^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"), ("MMMM d, yyyy", "^[A-Z][a-z]{3,} [0-9]{1,2}, [0-9]{4}$"))]
+        own = F.coalesce(*tries).cast("date")
     return F.when(x.isNull(), F.current_date()).otherwise(own)
 
 
-def time_ob(x: Column) -> Column:
-    """A time of day as a timestamp on 1970-01-01, from HH:mm:ss with or without a fraction."""
-    return F.concat(F.lit("1970-01-01 "), x).try_cast("timestamp_ntz")
+def time_ob(x: Column | None = None) -> Column:
+    """A time of day as a timestamp on 1970-01-01, from HH:mm:ss with or without a fraction; now without an argument or for null."""
+    now = F.concat(F.lit("1970-01-01 "), F.date_format(F.current_timestamp(), "HH:mm:ss.SSS")).cast("timestamp_ntz")
+    return now if x is None else F.when(x.isNull(), now).otherwise(F.concat(F.lit("1970-01-01 "), x).try_cast("timestamp_ntz"))
 
 
-def timestamp_ob(x: Column) -> Column:
-    return x.try_cast("timestamp_ntz")
+def timestamp_ob(x: Column | None = None) -> Column:
+    """A timestamp from text (null where it is none); now without an argument or for null."""
+    now = F.localtimestamp()
+    return now if x is None else F.when(x.isNull(), now).otherwise(x.try_cast("timestamp_ntz"))
 
 
 def epoch_millis(x: Column) -> Column:

@@ -76,8 +76,8 @@ def div10(a: Column, b: Column) -> Column:
 
 
 def regex_full(x: Column, pattern: str, flags: str = "") -> Column:
-    """Whether all of x matches the pattern; flags of i, s and m."""
-    return x.rlike(f"^(?:{f'(?{flags})' if flags else ''}{pattern})$")
+    """Whether all of x matches the pattern, a last line break included; flags of i, s and m."""
+    return x.rlike(rf"\A(?:{f'(?{flags})' if flags else ''}{pattern})\z")
 
 
 def like(x: Column, pattern: str) -> Column:

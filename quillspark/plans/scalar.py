@@ -48,9 +48,12 @@ def trim_leading_char(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.trim_text(F.col("p_brand"), "B", "leading").alias("r"))
 
 
-@plan("SELECT p_partkey, regexp_replace(regexp_replace('ababa' || p_brand || 'bab', '^(?:ab)+', ''), '(?:ab)+$', '') AS r FROM part")
+@plan("SELECT p_partkey, 'a' || p_brand || 'b' AS r, p_brand || '  ' || chr(10) AS s, chr(10) || ' ' || p_brand || chr(10) AS t FROM part")
 def trim_multi(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", C.trim_text(F.concat(F.lit("ababa"), "p_brand", F.lit("bab")), "ab").alias("r"))
+    text = lambda *parts: F.concat(*(F.col(x) if x == "p_brand" else F.lit(x) for x in parts))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", C.trim_text(text("ababa", "p_brand", "bab"), "ab").alias("r"), C.trim_text(text("p_brand", "  \n")).alias("s"), C.trim_text(text("\n ", "p_brand", "\n  ")).alias("t")
+    )
 
 
 @plan("SELECT p_partkey, lower(hex(encode(p_brand))) AS r FROM part")
@@ -95,6 +98,14 @@ def to_date(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.date_ob(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d"))
 
 
+@plan("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS short, CAST(o_orderdate AS DATE) AS long, CAST(o_orderdate AS DATE) AS whole FROM orders WHERE year(o_orderdate) < 2000")
+def date_formats(spark, sf_dir):
+    """Dates as an English locale writes them; two digits of a year are taken for this century, so a century is taken off again."""
+    text = lambda form: C.date_ob(F.date_format("o_orderdate", form))
+    out = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") < 2000)
+    return out.select("o_orderkey", F.add_months(text("M/d/yy"), -1200).alias("short"), text("MMM d, yyyy").alias("long"), text("EEEE, MMMM d, yyyy").alias("whole"))
+
+
 @plan("SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y %H:%M') AS r FROM orders")
 def dateformat(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy HH:mm").alias("r"))
@@ -131,7 +142,7 @@ def tonumber_bad_zero(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.to_number(F.col("c_name")).alias("r"))
 
 
-@plan(None)
+@plan("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS unique_key FROM customer")
 def unique_key(spark, sf_dir):
     from quillspark.operators.relational import numbered
 

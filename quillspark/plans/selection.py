@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import semantics as S
 from quillspark.plans.base import Plans
-from quillspark.sources import catalog
-from quillspark.sources.tables import sql, system_tables, table
+from quillspark.sources.tables import sql, table
 
 P = Plans()
 both, plan = P.both, P.plan
@@ -29,31 +28,6 @@ def view_subquery(spark, sf_dir):
     return spark.sql("SELECT c_custkey, c_name FROM rich_customers WHERE c_nationkey = 3")
 
 
-@plan(None)
-def catalog_tables(spark, sf_dir):
-    return system_tables(spark, sf_dir, ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"])
-
-
-@plan(None)
-def describe_table(spark, sf_dir):
-    return system_tables(spark, sf_dir, ["orders"]).drop("table_name")
-
-
-@plan(None)
-def show_types(spark, sf_dir):
-    return catalog.show_types(spark)
-
-
-@plan(None)
-def show_session(spark, sf_dir):
-    return catalog.show_product(spark).union(catalog.show_connection(spark)).union(catalog.show_status(spark))
-
-
-@plan(None)
-def show_schemas(spark, sf_dir):
-    return catalog.show_schemas(spark)
-
-
 # filters
 ORDERS = "SELECT o_orderkey, o_custkey FROM {orders} WHERE "
 both("eq", ORDERS + "o_orderstatus = 'F'")
@@ -97,9 +71,10 @@ def like_on_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter(S.like(F.col("o_custkey"), "1%5")).select("o_orderkey")
 
 
-@plan("SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3]+')")
+@plan("SELECT p_partkey FROM part WHERE regexp_full_match(CASE WHEN p_partkey % 3 = 0 THEN p_brand || chr(10) ELSE p_brand END, 'Brand#[1-3]+')")
 def regex_full(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(S.regex_full(F.col("p_brand"), "Brand#[1-3]+")).select("p_partkey")
+    brand = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("\n"))).otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").filter(S.regex_full(brand, "Brand#[1-3]+")).select("p_partkey")
 
 
 @plan("SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'bRAND#.[24]', 'i')")

@@ -46,6 +46,21 @@ def test_division_and_regex(spark):
     assert row[:] == (0.3333333333, None, False, True)
 
 
+def test_line_breaks_at_the_end_count(spark):
+    row = spark.range(1).select(
+        S.regex_full(F.lit("abc\n"), "abc"), S.regex_full(F.lit("abc"), "x|abc"), S.regex_full(F.lit("a\nabc"), "^abc$", "m"),
+        C.trim_text(F.lit("a  \n")), C.trim_text(F.lit("\n a"), side="leading"), C.trim_text(F.lit(" a ")),
+    ).first()
+    assert row[:] == (False, True, False, "a  \n", "\n a", "a")
+
+
+def test_dates_and_times_of_now(spark):
+    now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    row = spark.range(1).select(C.time_ob(), C.time_ob(F.lit(None).cast("string")), C.timestamp_ob(), C.timestamp_ob(F.lit(None).cast("string")), C.date_ob(F.lit("Monday, January 5, 2015")), C.date_ob(F.lit("2/3/21")), C.date_ob(F.lit("May 7, 1999"))).first()
+    assert row[0].date() == row[1].date() == datetime.date(1970, 1, 1) and all(abs((x - now).total_seconds()) < 120 for x in row[2:4])
+    assert row[4:] == (datetime.date(2015, 1, 5), datetime.date(2021, 2, 3), datetime.date(1999, 5, 7))
+
+
 @pytest.mark.parametrize(
     "begin, end, expected", [(0, 2, "ab"), (2, 4, "cd"), (-5, 2, "ab"), (3, 3, ""), (4, 2, ""), (9, None, ""), (3, None, "def"), (3, 99, "def"), (5, 6, "f")]
 )
