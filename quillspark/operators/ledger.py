@@ -30,44 +30,48 @@ def lines(amount: DataFrame, activity: DataFrame, account: DataFrame, company: i
     return amount.filter(mine).join(dates, "Act_id").join(accounts, "Account")
 
 
-def account_sums(rows: DataFrame, start: str, end: str, opening_of_assets_only: bool) -> DataFrame:
-    """Account, AccDesc, IsAsset, opening, period, has_rows of every account with a line up to `end`: both sums in one pass."""
-    day = F.col("InvDate").cast("date")
+def account_sums(books: tuple[DataFrame, DataFrame, DataFrame], company: int, start: str, end: str, opening_of_assets_only: bool) -> DataFrame:
+    """Account, AccDesc, IsAsset, opening, period of every account with a line up to `end` (amount, activity, account): both sums in one
+    pass. Lines are summed by account before accounts are joined, so only the sums meet the accounts' texts."""
+    amount, activity, account = books
+    mine, day = F.col("CompId") == company, F.col("InvDate").cast("date")
     before, within = day < F.lit(start).cast("date"), (day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date"))
-    counted = before & (F.col("IsAsset") != 0) if opening_of_assets_only else before
-    rows = rows.filter(counted | within)
+    dates = activity.filter(mine & (day <= F.lit(end).cast("date"))).select("Act_id", "InvDate")
     zero = F.lit(0).cast(MONEY)
-    return rows.groupBy("Account", "AccDesc", "IsAsset").agg(
-        F.coalesce(F.sum(F.when(counted, signed())), zero).alias("opening"), F.coalesce(F.sum(F.when(within, signed())), zero).alias("period")
-    )
-
-
-def balance(rows: DataFrame, start: str, end: str) -> DataFrame:
-    """Account, AccDesc, IsAsset, opening, period, outgoing: opening and outgoing for assets only; accounts without any sum are left
-    out. An account that only has an opening balance has a period of 0."""
-    s = account_sums(rows, start, end, True)
+    rows = amount.filter(mine).select("Act_id", "Account", signed().alias("_money")).join(dates, "Act_id").groupBy("Account")
+    sums = rows.agg(F.sum(F.when(before, F.col("_money"))).alias("opening"), F.sum(F.when(within, F.col("_money"))).alias("period"), F.count_if(before).alias("_before"), F.count_if(within).alias("_within"))
+    found = sums.join(account.filter(mine).select("Account", "AccDesc", "IsAsset"), "Account")
+    counted = (F.col("_before") > 0) & (F.col("IsAsset") != 0) if opening_of_assets_only else F.col("_before") > 0
+    found = found.filter(counted | (F.col("_within") > 0))
+    return found.select("Account", "AccDesc", "IsAsset", F.coalesce(F.when(counted, F.col("opening")), zero).alias("opening"), F.coalesce("period", zero).alias("period"))
+
+
+def balance(books: tuple[DataFrame, DataFrame, DataFrame], company: int, start: str, end: str) -> DataFrame:
+    """Account, AccDesc, IsAsset, opening, period, outgoing, assets first and then by account: opening and outgoing for assets only;
+    accounts without any sum are left out. An account that only has an opening balance has a period of 0."""
+    s = account_sums(books, company, start, end, True)
     asset = F.col("IsAsset") != 0
     s = s.filter((F.col("period") != 0) | (asset & (F.col("opening") != 0)))
-    return s.select("Account", "AccDesc", "IsAsset", F.when(asset, F.col("opening")).alias("opening"), "period", F.when(asset, F.col("opening") + F.col("period")).alias("outgoing"))
+    return s.select("Account", "AccDesc", "IsAsset", F.when(asset, F.col("opening")).alias("opening"), "period", F.when(asset, F.col("opening") + F.col("period")).alias("outgoing")).orderBy(F.desc("IsAsset"), "Account")
 
 
-def balance_subtotals(rows: DataFrame, start: str, end: str) -> DataFrame:
+def balance_subtotals(books: tuple[DataFrame, DataFrame, DataFrame], company: int, start: str, end: str) -> DataFrame:
     """is_asset (1 or 0), opening, period, outgoing: the sums of both halves of the balance, opening ones for assets only."""
-    b = balance(rows, start, end).withColumn("is_asset", F.when(F.col("IsAsset") != 0, 1).otherwise(0))
+    b = balance(books, company, start, end).withColumn("is_asset", F.when(F.col("IsAsset") != 0, 1).otherwise(0))
     return b.groupBy("is_asset").agg(F.sum("opening").alias("opening"), F.sum("period").alias("period"), F.sum("outgoing").alias("outgoing"))
 
 
 NO_GROUP = 999_999
 
 
-def account_sum(rows: DataFrame, spec: DataFrame, groups: DataFrame, start: str, end: str) -> DataFrame:
+def account_sum(books: tuple[DataFrame, DataFrame, DataFrame], company: int, spec: DataFrame, groups: DataFrame, start: str, end: str) -> DataFrame:
     """The lines of an account-sum report: every account under every row of `spec` whose range holds it.
 
     spec: from, to, comment, before, minus, grp; groups: grp1, comment, minus, grp2. Returns grp2 (999999: none), grp1, Account, AccDesc,
     comment, before, minus, opening, period, outgoing (opening and outgoing where `before`). The join is by range, to a spec that is
     broadcast if it is small.
     """
-    s = account_sums(rows, start, end, False)
+    s = account_sums(books, company, start, end, False)
     spec = spec.select(F.col("from").alias("_from"), F.col("to").alias("_to"), "comment", "before", "minus", F.col("grp").alias("grp1"))
     second = groups.groupBy("grp1").agg(F.min("grp2").alias("grp2"))
     out = s.join(bounded(spec), F.col("Account").between(F.col("_from"), F.col("_to"))).join(bounded(second), "grp1", "left")
@@ -107,7 +111,8 @@ def report_spec(spark, properties: str) -> tuple[DataFrame, DataFrame]:
 
 
 def account_ledger(rows: DataFrame, start: str, end: str, account: int | None = None, customer: str | None = None) -> DataFrame:
-    """Lines by account with a Debit and a Credit column; `customer` is a LIKE pattern over the customer number."""
+    """Lines by account and activity with a Debit and a Credit column, and with Customer, Notes and AccDesc; `customer` is a LIKE pattern
+    over the customer number."""
     day = F.col("InvDate").cast("date")
     rows = rows.filter((day >= F.lit(start).cast("date")) & (day <= F.lit(end).cast("date")))
     if account is not None:
@@ -116,7 +121,9 @@ def account_ledger(rows: DataFrame, start: str, end: str, account: int | None =
         rows = rows.filter(F.col("Customer").cast("string").like(customer))
     debit = F.col("IsDebit") == 1
     zero = F.lit(0).cast(MONEY)
-    return rows.select("Account", "Act_id", "InvDate", F.when(debit, _money(F.col("Amount"))).otherwise(zero).alias("Debit"), F.when(debit, zero).otherwise(_money(F.col("Amount"))).alias("Credit"))
+    sides = F.when(debit, _money(F.col("Amount"))).otherwise(zero).alias("Debit"), F.when(debit, zero).otherwise(_money(F.col("Amount"))).alias("Credit")
+    more = [c for c in ("Customer", "Notes") if c in rows.columns]
+    return rows.select("Account", "AccDesc", "Act_id", "InvDate", *more, *sides).orderBy("Account", "Act_id")
 
 
 def totals(found: DataFrame, by: str) -> DataFrame:
@@ -132,13 +139,13 @@ def running(found: DataFrame) -> DataFrame:
 
 
 def journal(rows: DataFrame, start: str, end: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Lines by activity, credits first within it."""
+    """Lines in the order of activities, credits first within one."""
     out = account_ledger(rows, start, end)
     if first is not None:
         out = out.filter(F.col("Act_id") >= first)
     if last is not None:
         out = out.filter(F.col("Act_id") <= last)
-    return out.select("Act_id", "InvDate", "Account", "Debit", "Credit")
+    return out.select("Act_id", "InvDate", "Account", "Debit", "Credit").orderBy("Act_id", F.col("Debit") != 0, "Account")
 
 
 def unbalanced(amount: DataFrame) -> DataFrame:

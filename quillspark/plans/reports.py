@@ -12,13 +12,17 @@ P = Plans()
 plan = P.plan
 
 START, END = "1995-01-01", "1996-12-31"
-_LINES = "SELECT 1 + l_orderkey % 2 AS CompId, l_orderkey AS Act_id, 1000 + l_partkey % 100 * 80 AS Account, l_extendedprice AS Amount, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS IsDebit, CAST(l_suppkey AS INT) AS Customer FROM {lineitem}"
+_LINES = "SELECT 1 + l_orderkey % 2 AS CompId, l_orderkey AS Act_id, 1000 + l_partkey % 100 * 80 AS Account, l_extendedprice AS Amount, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS IsDebit, CAST(l_suppkey AS INT) AS Customer, concat('line ', CAST(l_linenumber AS STRING)) AS Notes FROM {lineitem}"
 _ORDERS = "SELECT 1 + o_orderkey % 2 AS CompId, o_orderkey AS Act_id, o_orderdate AS InvDate FROM {orders}"
 _ACCOUNTS = "SELECT DISTINCT c.CompId, 1000 + p_partkey % 100 * 80 AS Account, concat('Account ', CAST(p_partkey % 100 AS STRING)) AS AccDesc, CASE WHEN p_partkey % 100 < 25 THEN 1 ELSE 0 END AS IsAsset FROM {part}, (SELECT 1 AS CompId UNION ALL SELECT 2) c"
 
 
+def _books(spark, sf_dir):
+    return sql(spark, sf_dir, _LINES), sql(spark, sf_dir, _ORDERS), sql(spark, sf_dir, _ACCOUNTS)
+
+
 def _lines(spark, sf_dir):
-    return L.lines(sql(spark, sf_dir, _LINES), sql(spark, sf_dir, _ORDERS), sql(spark, sf_dir, _ACCOUNTS), 1)
+    return L.lines(*_books(spark, sf_dir), 1)
 
 
 def _text(s: str) -> str:
@@ -46,17 +50,17 @@ def _as_double(*names):
 
 @plan(_J + f"SELECT Account, AccDesc, IsAsset, {_as_double('opening', 'period')} FROM bal")
 def balance(spark, sf_dir):
-    return _doubles(L.balance(_lines(spark, sf_dir), START, END).drop("outgoing"), "opening", "period")
+    return _doubles(L.balance(_books(spark, sf_dir), 1, START, END).drop("outgoing"), "opening", "period")
 
 
 @plan(_J + f"SELECT Account, {_as_double('outgoing')} FROM bal WHERE outgoing IS NOT NULL")
 def balance_outgoing(spark, sf_dir):
-    return _doubles(L.balance(_lines(spark, sf_dir), START, END).select("Account", "outgoing").filter("outgoing IS NOT NULL"), "outgoing")
+    return _doubles(L.balance(_books(spark, sf_dir), 1, START, END).select("Account", "outgoing").filter("outgoing IS NOT NULL"), "outgoing")
 
 
 @plan(_J + "SELECT IsAsset AS is_asset, CAST(sum(opening) AS DOUBLE) AS opening, CAST(sum(period) AS DOUBLE) AS period, CAST(sum(outgoing) AS DOUBLE) AS outgoing FROM bal GROUP BY IsAsset")
 def balance_subtotals(spark, sf_dir):
-    return _doubles(L.balance_subtotals(_lines(spark, sf_dir), START, END), "opening", "period", "outgoing")
+    return _doubles(L.balance_subtotals(_books(spark, sf_dir), 1, START, END), "opening", "period", "outgoing")
 
 
 _SPEC = [(1000, 2999, "Balance", True, False, "10"), (3000, 9999, "Result", False, False, "11"), (2500, 4000, "Middle", True, True, "12"), (9500, 9999, "Rest", False, True, "13")]
@@ -66,7 +70,7 @@ _GROUPS = [("10", "Difference", False, "1"), ("11", "", True, "1"), ("12", "Seco
 def _account_sum(spark, sf_dir):
     spec = spark.createDataFrame(_SPEC, "`from` int, `to` int, comment string, before boolean, minus boolean, grp string")
     groups = spark.createDataFrame(_GROUPS, "grp1 string, comment string, minus boolean, grp2 string")
-    return L.account_sum(_lines(spark, sf_dir), spec, groups, START, END), groups
+    return L.account_sum(_books(spark, sf_dir), 1, spec, groups, START, END), groups
 
 
 _S = (
@@ -101,7 +105,7 @@ _DC = "CAST(CASE WHEN IsDebit = 1 THEN CAST(Amount AS DECIMAL(18,2)) ELSE 0 END
 _DC_SUMS = _DC.replace("CAST(CASE", "CAST(sum(CASE").replace("END AS DOUBLE)", "END) AS DOUBLE)")
 
 
-@plan(_J + f"SELECT Account, Act_id, InvDate, {_DC} FROM j WHERE {_WITHIN} AND Account = 1800 AND CAST(Customer AS VARCHAR) LIKE '1%'")
+@plan(_J + f"SELECT Account, AccDesc, Act_id, InvDate, Customer, Notes, {_DC} FROM j WHERE {_WITHIN} AND Account = 1800 AND CAST(Customer AS VARCHAR) LIKE '1%'")
 def account_ledger(spark, sf_dir):
     return _doubles(L.account_ledger(_lines(spark, sf_dir), START, END, 1800, "1%"), "Debit", "Credit")
 

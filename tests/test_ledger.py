@@ -25,15 +25,14 @@ def numbers(rows):
 
 
 def test_balance(books):
-    rows = L.lines(*books, 1)
-    got = numbers(L.balance(rows, "2020-01-01", "2020-12-31").orderBy("Account").collect())
+    got = numbers(L.balance(books, 1, "2020-01-01", "2020-12-31").orderBy("Account").collect())
     assert got == [(1000, "cash", 1, 500, 120, 620), (2000, "loan", 1, -500, 0, -500), (3000, "sales", 0, None, -200, None), (4000, "cost", 0, None, 80, None)]
-    subtotals = {r[0]: r[1:] for r in numbers(L.balance_subtotals(rows, "2020-01-01", "2020-12-31").collect())}
+    subtotals = {r[0]: r[1:] for r in numbers(L.balance_subtotals(books, 1, "2020-01-01", "2020-12-31").collect())}
     assert subtotals == {1: (0, 120, 120), 0: (None, -120, None)}
 
 
 def test_balance_shows_openings_without_any_period(books):
-    got = numbers(L.balance(L.lines(*books, 1), "2020-06-01", "2020-06-30").orderBy("Account").collect())
+    got = numbers(L.balance(books, 1, "2020-06-01", "2020-06-30").orderBy("Account").collect())
     assert [(r[0], r[3], r[4], r[5]) for r in got] == [(1000, 620, 0, 620), (2000, -500, 0, -500)]
 
 
@@ -45,7 +44,7 @@ def test_account_sum_of_a_saved_report(spark, books):
         "SecondLevelRow1Col0=11\nSecondLevelRow1Col1=\nSecondLevelRow1Col2=true\nSecondLevelRow1Col3=1\n"
     )
     spec, groups = L.report_spec(spark, text)
-    found = L.account_sum(L.lines(*books, 1), spec, groups, "2020-01-01", "2020-12-31")
+    found = L.account_sum(books, 1, spec, groups, "2020-01-01", "2020-12-31")
     assert L.account_sum_printed(found).count() == 4
     one = L.account_sum_level1(found)
     assert {r["grp1"]: (float(r["opening"]), float(r["period"])) for r in one.collect()} == {"10": (0, 120), "11": (0, 120)}
@@ -58,6 +57,8 @@ def test_ledger_and_journal(books):
     assert sorted((float(r["Debit"]), float(r["Credit"])) for r in ledger.collect()) == [(0, 80), (200, 0), (500, 0)]
     assert [float(r["balance"]) for r in L.running(ledger).orderBy("InvDate").collect()] == [500, 700, 620]
     assert L.account_ledger(rows, "2019-01-01", "2022-12-31", customer="7%").count() == 6
+    assert [(r["Account"], r["Act_id"]) for r in L.account_ledger(rows, "2019-01-01", "2022-12-31").collect()] == [(1000, 1), (1000, 2), (1000, 3), (1000, 4), (2000, 1), (3000, 2), (3000, 4), (4000, 3)]
+    assert [(r["Act_id"], r["Account"]) for r in L.journal(rows, "2019-01-01", "2020-12-31").collect()] == [(1, 2000), (1, 1000), (2, 3000), (2, 1000), (3, 1000), (3, 4000)]
     journal = L.totals(L.journal(rows, "2019-01-01", "2022-12-31", 2, 3), "Act_id")
     assert {r["Act_id"]: (float(r["Debit"]), float(r["Credit"])) for r in journal.collect()} == {2: (200, 200), 3: (80, 80)}
 
