@@ -64,27 +64,14 @@ def quantified(df: DataFrame, x: str, op: str, quantifier: str, values: DataFram
     return own.filter(keep).select(*df.columns)
 
 
-def group_max(df: DataFrame, keys: list[str], largest: str, then: list[str] | None = None) -> DataFrame:
+def group_max(df: DataFrame, keys: list[str], largest: str, then: list[str]) -> DataFrame:
     """The row of each group in which `largest` is largest (null lowest); of ties, the one with the smallest `then` columns.
 
-    One aggregation with partial results, no sort of a group.
+    Two aggregations with partial results over one scan, the first by the keys and `largest`; no sort of a group.
     """
-    others = [c for c in df.columns if c not in keys]
-    row = F.struct(*others)
-    if not then:
-        chosen = F.max_by(row, F.struct(F.col(largest).isNotNull(), F.col(largest)))
-        return df.groupBy(*keys).agg(chosen.alias("_row")).select(*keys, "_row.*").select(*df.columns)
-    top = df.groupBy(*keys).agg(F.max(largest).alias("_top"))
-    same = F.col("_top").eqNullSafe(F.col(largest))
-    tied = df.join(top.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_top"), _all_equal(df, keys)).filter(same)
-    return tied.groupBy(*keys).agg(F.min_by(row, F.struct(*then)).alias("_row")).select(*keys, "_row.*").select(*df.columns)
-
-
-def _all_equal(df: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & df[k].eqNullSafe(F.col(f"_k{i}"))
-    return on
+    top, row = "_top", F.struct(*df.columns)
+    ties = df.groupBy(*keys, F.col(largest).alias(top)).agg(F.min_by(row, F.struct(*then)).alias("_row"))
+    return ties.groupBy(*keys).agg(F.max_by("_row", F.struct(F.col(top).isNotNull(), F.col(top))).alias("_row")).select("_row.*")
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -19,9 +19,25 @@ def sql(spark: SparkSession, sf_dir: str, text: str, args: dict | list | None =
 
 
 def run_script(spark: SparkSession, sf_dir: str, script: str) -> list[DataFrame]:
-    """The results of a script's statements, which end in a semicolon at the end of a line; lines that begin with -- don't count."""
-    lines = [x for x in script.splitlines() if not x.lstrip().startswith("--")]
-    return [sql(spark, sf_dir, s) for s in re.split(r";[ \t]*(?:\n|$)", "\n".join(lines)) if s.strip()]
+    """The results of a script's statements, which end in a semicolon at the end of a line; lines that begin with -- or // don't count.
+    CREATE INDEX and DROP INDEX do nothing, as there are no indexes: their result is empty."""
+    lines = [x for x in script.splitlines() if not x.lstrip().startswith(("--", "//"))]
+    statements = [s for s in re.split(r";[ \t]*(?:\n|$)", "\n".join(lines)) if s.strip()]
+    index = re.compile(r"\s*(?:CREATE\s+(?:UNIQUE\s+)?|DROP\s+)INDEX\s", re.I).match
+    return [spark.createDataFrame([], "result string") if index(s) else sql(spark, sf_dir, s) for s in statements]
+
+
+def as_text(df: DataFrame, order: list[str]) -> DataFrame:
+    """n, line: `df` as lines of one width, with a heading and a rule first, rows in the given order, NULL for null; n counts from 0.
+    Widths are one row of aggregates, and lines are numbered by range, so no task holds all of them."""
+    from quillspark.operators.relational import numbered
+
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL"))
+    found = df.agg(*(F.max(F.length(text(c))).alias(c) for c in df.columns)).first()
+    wide = {c: max(len(c), found[c] or 0) for c in df.columns}
+    head = df.sparkSession.createDataFrame([(0, " | ".join(c.ljust(w) for c, w in wide.items())), (1, "-+-".join("-" * w for w in wide.values()))], "n long, line string")
+    lines = numbered(df, order, "n", start=2).select("n", F.concat_ws(" | ", *(F.rpad(text(c), w, " ") for c, w in wide.items())).alias("line"))
+    return head.union(lines)
 
 
 def system_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:

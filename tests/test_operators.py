@@ -8,6 +8,7 @@ from quillspark.operators import constraints as K
 from quillspark.operators import relational as R
 from quillspark.sources import catalog as C
 from quillspark.sources import tables as T
+from quillspark.sources.shared import shared_dir
 from quillspark.streaming.triggers import on_insert
 
 OPS = {"=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
@@ -40,7 +41,6 @@ def test_null_keys_match(spark):
 def test_groups_with_one_row(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 3, 9), ("b", 4, None), (None, 5, 1)], "k string, i int, v int")
     assert sorted(map(str, (r["i"] for r in R.group_max(df, ["k"], "v", ["i"]).collect()))) == ["2", "4", "5"]
-    assert {r["k"]: r["v"] for r in R.group_max(df, ["k"], "v").collect()} == {"a": 9, "b": None, None: 1}
     assert sorted(r["i"] for r in R.first_row(df, ["k"], ["i"]).collect()) == [1, 4, 5]
 
 
@@ -127,6 +127,64 @@ def test_catalog(spark, tmp_path):
     assert all(spark.range(1).selectExpr(f"CAST(NULL AS {k}) AS x").count() for k in C.TYPES.values())
 
 
+def test_definitions_keep_their_constraints(spark):
+    t = K.Table("quill_kept_test", (("id", "int"), ("s", "string"), ("n", "int")), ("n",), ("id",), (("s", "n"),), (("it's", "n > 0 AND s <> '\\\\'"),), ((("n",), "p", ("id",), "SET NULL"),), {"s": "a'b"})
+    assert K.Table.from_json(t.to_json()) == t
+    C.drop(spark, t.name, if_exists=True)
+    C.create(spark, t)
+    assert C.definition(spark, t.name) == t
+    spark.createDataFrame([(1, "x", 2), (2, "y", 3)], t.schema()).write.mode("append").saveAsTable(t.name)
+    with pytest.raises(C.Violated, match="CHECK most"):
+        C.alter(spark, t.name, lambda d: d.drop_foreign_key("n").add_check("most", "n < 3"))
+    assert C.definition(spark, t.name) == t and spark.table(t.name).count() == 2
+    out = C.alter(spark, t.name, lambda d: d.drop_column("n").add_column("m", "bigint", 7).add_unique("m", "id").drop_primary_key().add_primary_key("id"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "x", 7), (2, "y", 7)]
+    held = C.definition(spark, t.name)
+    assert held.checks == held.foreign_keys == held.not_null == () and held.unique == (("m", "id"),) and held.primary_key == ("id",)
+    C.drop(spark, t.name)
+    with pytest.raises(ValueError):
+        K.Table("t", (("a", "int"),), primary_key=("b",))
+    with pytest.raises(ValueError):
+        held.add_primary_key("m")
+
+
+def test_rules_on_delete(spark):
+    child, gone = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id int, ref int"), spark.createDataFrame([(5,), (5,)], "k int")
+    rows = lambda rule: sorted(tuple(r) for r in K.on_delete(child, ["ref"], gone, ["k"], rule, {"ref": 9}).collect())
+    assert rows("CASCADE") == [(2, 6), (3, None)] and rows("SET NULL") == [(1, None), (2, 6), (3, None)]
+    assert rows("SET DEFAULT") == [(1, 9), (2, 6), (3, None)] and rows("NO ACTION") == rows("RESTRICT") == [(1, 5), (2, 6), (3, None)]
+    with pytest.raises(ValueError):
+        rows("DROP")
+
+
+def test_schemas(spark):
+    C.drop_schema(spark, "quill_schema_test", if_exists=True, cascade=True)
+    C.create_schema(spark, "quill_schema_test")
+    C.create_schema(spark, "quill_schema_test", if_not_exists=True)
+    before = spark.catalog.currentDatabase()
+    C.set_schema(spark, "quill_schema_test")
+    assert spark.catalog.currentDatabase() == "quill_schema_test" and "quill_schema_test" in {r["schema_name"] for r in C.show_schemas(spark).collect()}
+    C.set_schema(spark, before)
+    C.drop_schema(spark, "quill_schema_test")
+
+
+def test_text_of_results(spark):
+    df = spark.createDataFrame([(10, "ab"), (2, None)], "id int, s string")
+    assert [r["line"] for r in T.as_text(df, ["id"]).orderBy("n").collect()] == ["id | s   ", "---+-----", "2  | NULL", "10 | ab  "]
+
+
+def test_shared_folder_on_a_cluster(spark):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+
+
 def test_user_aggregates(spark):
     df = spark.createDataFrame([("a", i, i * i) for i in range(50)] + [("b", 1, None), (None, 2, 7)], "k string, i int, v int").repartition(5)
     step = lambda a, v: a + [v] if v is not None else a
