@@ -34,6 +34,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def labels(spec: dict) -> dict[int, bytes]:
+    """The bytes of each token."""
+    letters = byte_letters()
+    own = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return own | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+
+
 def arc(ranks: dict[tuple[int, int], int], gadgets: tuple, spine: tuple) -> bool:
     """Whether a state that these gadgets made has an arc of the token of this spine: a gadget that took the arc `e` away denies every
     token that began with `e` as the arcs stood then."""
@@ -49,10 +56,8 @@ class Automaton:
     """The compiled merges. A state is what a gadget of token `owner` at time `made` left of the older state `base` of that token."""
 
     def __init__(self, spec: dict):
-        letters = byte_letters()
         model, added = spec["model"], spec["added_tokens"]
-        self.label = {i: bytes(letters[c] for c in s) for s, i in model["vocab"].items()}  # what an arc emits
-        self.label |= {x["id"]: x["content"].encode() for x in added}
+        self.label = labels(spec)  # what an arc emits
         self.added = {x["content"]: x["id"] for x in added}
         self.byte = [0] * 256
         for i, s in self.label.items():
@@ -119,7 +124,9 @@ class Automaton:
 #: What a Python worker has compiled: (automaton, ids of the words it has met), by the vocabulary's digest.
 _COMPILED: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
 #: Words of up to 64 characters whose ids a worker keeps; when so many are kept it begins anew.
-CACHE = 400_000
+CACHE = 200_000
+#: Labels of tokens that a worker has read, by the vocabulary's digest.
+_LABELS: dict[str, list[bytes]] = {}
 
 
 def vocabulary(path: str) -> str:
@@ -172,11 +179,14 @@ def encoder(source: str):
 
 def decoder(source: str):
     """A function from the bytes of ids to text: the labels of the arcs, read as UTF-8."""
-    machine, _ = automaton(source)
-    labels = [machine.label.get(i, b"") for i in range(max(machine.label) + 1)]
+    name = hashlib.sha256(source.encode()).hexdigest()
+    if name not in _LABELS:
+        own = labels(json.loads(source))
+        _LABELS[name] = [own.get(i, b"") for i in range(max(own) + 1)]
+    of = _LABELS[name]
 
     def text(packed: bytes) -> str:
-        return b"".join(map(labels.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
+        return b"".join(map(of.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
     return text
 
