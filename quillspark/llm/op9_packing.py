@@ -32,7 +32,7 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9fÀ-ÖØ-öø-ÿ]|<\\|startofte
 _HELD: dict[str, tuple] = {}
 
 
-def token_bytes(source: str, cache: int = 400_000):
+def token_bytes(source: str, cache: int = 200_000):
     """A function from a list of texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them for the
     vocabulary with this text, with add_special_tokens=False. Words are tokenized once in a worker and then looked up, as the vocabulary's
     merges never cross words; when `cache` words are held it begins anew."""
