@@ -32,15 +32,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, q
     every row with another vec_id. Blocks are dealt by hash and of about `block` and `query_block` rows; each pair of blocks is one
     small task, in which a query's terms scatter weighted postings into one dense score array, whose best k are selected; the partial
     lists (k for each query and block) are merged by a window. Ties go to the smaller vec_id. Rows without vec_id or terms take no
-    part; a repeated row is returned as often as it stands there; no queries or no rows give an empty result.
+    part; a repeated row is returned as often as it stands there; equal queries count once, and queries of one vec_id with other terms
+    each have k rows. Of rows of different lengths the shorter counts as having zeros further on; scores must fit in 64 bits. No queries
+    or no rows give an empty result.
     """
     rows = rows.select("vec_id", "terms").filter("vec_id IS NOT NULL AND terms IS NOT NULL")
-    queries = queries.select("vec_id", "terms").filter("vec_id IS NOT NULL AND terms IS NOT NULL")
+    queries = queries.select("vec_id", "terms").filter("vec_id IS NOT NULL AND terms IS NOT NULL").dropDuplicates(["vec_id", "terms"])
     n, q = rows.count(), queries.count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-q // query_block))
 
     def dealt(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(own_n)).cast("int")).withColumn(
+        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", "terms"), F.lit(own_n)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
         )
 
@@ -48,7 +50,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, q
         ids = block["vec_id"].to_numpy()
         postings = _postings(list(block["terms"]))
         out = []
-        for query_id, terms in zip(asked["vec_id"], asked["terms"]):
+        for query_id, terms, asked_by in zip(asked["vec_id"], asked["terms"], asked["q"]):
             if not len(ids):
                 break
             score = np.zeros(len(ids), np.int64)
@@ -60,13 +62,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 8192, q
                 least = np.partition(score[open_], len(open_) - k)[len(open_) - k]
                 open_ = open_[score[open_] >= least]
             open_ = open_[np.lexsort((ids[open_], -score[open_]))][:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[open_], "score": score[open_]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            out.append(pd.DataFrame({"query_id": query_id, "q": asked_by, "vec_id": ids[open_], "score": score[open_]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}, dtype="int64")
 
-    asked = dealt(queries, "qb", query_blocks, "cb", blocks).groupBy("qb", "cb")
+    asked = dealt(queries.withColumn("q", F.xxhash64("terms")), "qb", query_blocks, "cb", blocks).groupBy("qb", "cb")
     held = dealt(rows, "cb", blocks, "qb", query_blocks).groupBy("qb", "cb")
-    partial = asked.cogroup(held).applyInPandas(best, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    partial = asked.cogroup(held).applyInPandas(best, "query_id long, q long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
