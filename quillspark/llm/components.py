@@ -39,5 +39,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         drop_kept(edges)
         edges = moved
         if tuple(now) == state or now[0] == 0:
-            return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+            out = edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
+            out._kept_at = edges._kept_at  # so that drop_kept() can delete it once it has been used
+            return out
         state = tuple(now)

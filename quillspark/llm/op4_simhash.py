@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches, spare, table
+from .common import drop_kept, keep, small_batches, spare, table
 from .components import connected_components
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -238,10 +238,12 @@ def links(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most:
     return dealt.mapInArrow(compare, "src long, dst long")
 
 
-def _joined(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """`rows` (root, ...) with the roots of what `edges` (between roots) join."""
-    last = connected_components(edges).toDF("root", "_last")
-    return rows.join(last, "root", "left").withColumn("root", F.coalesce("_last", "root")).drop("_last")
+def _joined(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """`rows` (root, ...) with the roots of what `edges` (between roots) join, as a written table."""
+    roots = connected_components(edges)
+    out = keep(rows.join(roots.toDF("root", "_last"), "root", "left").withColumn("root", F.coalesce("_last", "root")).drop("_last"), name)
+    drop_kept(roots)
+    return out
 
 
 def reached(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], most: int, compared: int | None = None) -> DataFrame:
@@ -252,8 +254,10 @@ def reached(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], mos
     """
     names = [f"f{i}" for i in range(lanes)]
     rows = found.select("rep", F.col("rep").alias("root"), *names)
-    rows = keep(_joined(rows, links(rows, lanes, keys[:FIRST], most, compared, broad=True)), "reached")
-    return keep(_joined(rows.select("rep", "root"), links(rows, lanes, keys, most, compared)), "reached")
+    rows = _joined(rows, links(rows, lanes, keys[:FIRST], most, compared, broad=True), "reached")
+    out = _joined(rows.select("rep", "root"), links(rows, lanes, keys, most, compared), "reached")
+    drop_kept(rows)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int = 2, keys: list | None = None) -> DataFrame:
@@ -341,7 +345,10 @@ def _few_links(reps: DataFrame, similarity: float) -> DataFrame:
     dealt = keep(reps.filter("few IS NOT NULL").select("rep", "few").mapInArrow(deal, "key long, shared long, gone long, rep long"), "few-shingles")
     least = dealt.groupBy("key", "shared").agg(F.min(F.struct("gone", "rep")).alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     both = dealt.join(least, ["key", "shared"]).filter(F.col("rep") != F.col("least.rep"))
-    return both.filter(F.col("shared") >= F.lit(similarity) * (F.col("shared") + F.col("gone") + F.col("least.gone"))).select(F.col("least.rep").alias("src"), F.col("rep").alias("dst"))
+    both = both.filter(F.col("shared") >= F.lit(similarity) * (F.col("shared") + F.col("gone") + F.col("least.gone")))
+    out = keep(both.select(F.col("least.rep").alias("src"), F.col("rep").alias("dst")), "few-links")
+    drop_kept(dealt)
+    return out
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -431,11 +438,14 @@ def alike_within(groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     none = sizes.select("block", "n", "most", F.lit(0).cast("long").alias("of_main"), F.lit(0).cast("long").alias("main"))
     found = keep(_alike(_parts(sets.withColumn("root", F.col("rep")), "block", none, True), similarity), "near-links")
     if sizes.isEmpty():
+        drop_kept(sets)
         return found
-    rows = keep(_joined(sets.join(sizes.select("block"), "block").withColumn("root", F.col("rep")), found), "large-group-roots")
+    rows = _joined(sets.join(sizes.select("block"), "block").withColumn("root", F.col("rep")), found, "large-group-roots")
     main = rows.groupBy("block", "root").count().groupBy("block").agg(F.max("count").alias("of_main"), F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
     open_ = keep(sizes.join(main.filter("roots > 1"), "block"), "open-groups")
-    return found.union(_alike(_parts(rows.join(open_.select("block"), "block"), "block", open_, False), similarity))
+    more = keep(_alike(_parts(rows.join(open_.select("block"), "block"), "block", open_, False), similarity), "further-links")
+    drop_kept(sets, rows)
+    return found.union(more)
 
 
 def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 16, recall: float = 0.999) -> DataFrame:
@@ -447,7 +457,8 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     differing bits of any set sizes. What fingerprints join is a group (see reached); in each group all pairs of sets are then compared
     exactly, save those that exact links join already, so that a fingerprint never decides. A key has so many bits that unlike texts fill
     a block with 512 rows at most, at any size; the number of keys follows from that.
-    component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows.
+    component_id is the smallest reachable (rows with doc_id first). Null and blank texts are alike. No rows give no rows. The result is
+    a written table.
     """
     names, bits = [f"f{i}" for i in range(lanes)], 64 * lanes
     key = F.md5(F.coalesce("text", F.lit("")))
@@ -460,17 +471,20 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     keys = sampled_blocks(lanes, _keys_needed(bits, wide, share, bits, 0.999, 1 - recall), wide)
     groups = reached(reps, lanes, keys, _reach(128, share, 0.001), compared=2)
     exact = alike_within(groups, reps, docs, words, similarity).union(_few_links(reps, similarity))
-    known = keep(_joined(reps.select("rep", "least", *names, F.col("rep").alias("root")), exact), "fingerprint-classes")
+    known = _joined(reps.select("rep", "least", *names, F.col("rep").alias("root")), exact, "fingerprint-classes")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.drop("few").join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id")
+    out = keep(own.drop("few").join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id"), "near-texts")
+    drop_kept(own, reps, groups, known)
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one row of each group of near-duplicate texts: the one with the smallest doc_id (null last; then the smallest MD5 of
     the text), and one of its repeated rows. Columns stay as they are."""
-    groups = keep(near_texts(docs.select("doc_id", "text"), words, similarity), "near-texts")
+    groups = near_texts(docs.select("doc_id", "text"), words, similarity)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = keep(kept.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.key").alias("_key"), F.col("count").alias("_n")), "kept-rows")
+    drop_kept(groups)
     own = spare(docs, "_own")
     rows = docs.withColumn(own, F.md5(F.coalesce("text", F.lit(""))))
     chosen = lambda some: rows.join(kept.filter(some), (rows[own] == kept["_key"]) & rows["doc_id"].eqNullSafe(kept["_id"]), "left_semi")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, table
+from .common import drop_kept, keep, table
 from .components import connected_components
 
 GOOD = (
@@ -144,7 +144,9 @@ def _split_large(assigned: DataFrame, classes: DataFrame, cap: int, spill: float
         bands = at.groupBy("leaf").agg(F.percentile_approx("at", [0.5 - spill, 0.5 + spill], 1000).alias("b"))
         bands = bands.select("leaf", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
         below = at.join(bands, "leaf").select("cls", "leaf", "at", "lo", "hi").mapInArrow(halves, "cls long, leaf long")
-        assigned = keep(assigned.join(large, "leaf", "left_anti").select("cls", "leaf").union(below), "leaves")
+        now = keep(assigned.join(large, "leaf", "left_anti").select("cls", "leaf").union(below), "leaves")
+        drop_kept(assigned, at)
+        assigned = now
 
 
 def _forest_edges(near: np.ndarray) -> list[tuple[int, int]]:
@@ -182,7 +184,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
     classes = keep(good.groupBy("embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies")), "vector-classes")
     stats = classes.groupBy(F.size("embedding").alias("dims")).count().collect()  # one row for each length of vector
     # one vec_id may stand for several vectors: classes are told apart by a number of their own
-    classes = keep(classes.withColumn("rep", F.col("cls")).withColumn("cls", F.xxhash64("embedding")), "vector-classes")
+    numbered = keep(classes.withColumn("rep", F.col("cls")).withColumn("cls", F.xxhash64("embedding")), "vector-classes")
+    drop_kept(classes)
+    classes = numbered
     links, edges = None, None
     for dims, n in ((r["dims"], r["count"]) for r in stats):
         own = classes.filter(F.size("embedding") == dims)
@@ -230,6 +234,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, trees: int = 12, leaf:
             )
 
         found = keep(full.groupBy("leaf", "a", "b").applyInPandas(compare, "cls long, other long, n long"), "leaf-links")
+        drop_kept(assigned)
         links = found if links is None else links.union(found)
     out = rows.withColumn("cls", F.when(F.col("vec_id").isNotNull() & F.expr(GOOD), F.xxhash64("embedding")))
     if links is None:
