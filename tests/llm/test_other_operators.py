@@ -68,6 +68,17 @@ def test_top_k_of_few_or_no_rows(vectors):
     assert op2_topk.top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_and_ragged_queries(spark):
+    rows = spark.createDataFrame([(i, [i, 1, -i][: 1 + i % 3]) for i in range(1, 30)], "vec_id long, terms array<bigint>")
+    asked = spark.createDataFrame([(5, [2, 0, 1]), (5, [2, 0, 1]), (5, [0, 1]), (40, [1, 1, 1])], rows.schema)
+    found = op2_topk.top_k(rows, asked, k=4).collect()
+    want = []
+    for q, terms in ((5, [2, 0, 1]), (5, [0, 1]), (40, [1, 1, 1])):
+        scored = [(-sum(a * b for a, b in zip(terms, [i, 1, -i][: 1 + i % 3])), i) for i in range(1, 30) if i != q]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scored)[:4], 1)]
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def brute_links(rows):
     able = [(n, i, np.array(v)) for n, (i, v) in enumerate(rows) if i is not None and good(v) and any(v)]
     links, linked = collections.Counter(), []

@@ -35,6 +35,19 @@ def none(docs):
     return docs[0].limit(0)
 
 
+def test_texts_of_megabytes(spark):
+    """One text of distinct words, one of a single token, one of one word again and again: each of more than a megabyte."""
+    texts = [" ".join(f"w{i}" for i in range(180_000)) + " mail a.b@c.org token=abcdef123", "x" * 1_200_000, "ab " * 400_000, "0123456789abcdef" * 80_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r["f0"] & (1 << 64) - 1 for r in op4_simhash.near_duplicates(df).collect()}
+    assert prints == {i: simhash(t) for i, t in enumerate(texts)}
+    out = {r["doc_id"]: r for r in op5_pii.pseudonymise(df, "k").collect()}
+    assert [out[i]["n_entities"] for i in range(4)] == [1, 0, 0, 0] and "a.b@c.org" not in out[0]["text"] and len(out[0]["text"]) == len(texts[0])
+    found = {r["doc_id"]: r for r in op10_secrets.secrets(df).collect()}
+    assert [(found[i]["n_assign"], found[i]["n_access"], found[i]["n_hex"]) for i in range(4)] == [(1, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 1)]
+    assert found[3]["base"] == f"hex:0:{len(texts[3])}"
+
+
 def test_nothing_in_nothing_out(none):
     assert op1_quality.classify(none).count() == 0
     assert op3_bpe.decode(op3_bpe.encode(none, path("byte_bpe_50k.json")), path("byte_bpe_50k.json")).count() == 0
