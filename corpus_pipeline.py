@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import keep, table
+from quillspark.llm.common import drop_kept, keep, table
 from quillspark.llm.op1_quality import classify
 from quillspark.llm.op4_simhash import one_of_each
 from quillspark.llm.op5_pii import KEY, pseudonymise
@@ -41,5 +41,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        written = keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_kept(docs)  # what the stage before has written
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)
