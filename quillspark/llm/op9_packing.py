@@ -32,10 +32,10 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9fÀ-ÖØ-öø-ÿ]|<\\|startofte
 _HELD: dict[str, tuple] = {}
 
 
-def token_bytes(source: str, cache: int = 200_000):
+def token_bytes(source: str, cache: int = 300_000):
     """A function from a list of texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them for the
     vocabulary with this text, with add_special_tokens=False. Words are tokenized once in a worker and then looked up, as the vocabulary's
-    merges never cross words; when `cache` words are held it begins anew."""
+    merges never cross words; of those it meets first, which the frequent ones are among, about `cache` are held."""
     name = hashlib.sha256(source.encode()).hexdigest()
     if name not in _HELD:
         import os
@@ -62,9 +62,8 @@ def token_bytes(source: str, cache: int = 200_000):
         own = dict(zip(new, (pack(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False))))
         for i, found in split.items():
             out[i] = b"".join([words[w] if w in words else own[w] for w in found])
-        if len(words) >= cache:
-            words.clear()
-        words.update((w, ids) for w, ids in own.items() if len(w) < 64)
+        if len(words) < cache:
+            words.update((w, ids) for w, ids in own.items() if len(w) < 64)
         return out
 
     return ids
