@@ -123,8 +123,8 @@ class Automaton:
 
 #: What a Python worker has compiled: (automaton, ids of the words it has met), by the vocabulary's digest.
 _COMPILED: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
-#: Words of up to 64 characters whose ids a worker keeps; when so many are kept it begins anew.
-CACHE = 200_000
+#: Words of up to 64 characters whose ids a worker keeps: the first that it meets, which the frequent ones are among.
+CACHE = 300_000
 #: Labels of tokens that a worker has read, by the vocabulary's digest.
 _LABELS: dict[str, list[bytes]] = {}
 
@@ -167,9 +167,7 @@ def encoder(source: str):
                 packed = get(w)
                 if packed is None:
                     packed = b"".join(map(four, word(w.encode("utf-8", "surrogatepass"))))
-                    if len(w) < 64:
-                        if len(words) >= CACHE:
-                            words.clear()
+                    if len(words) < CACHE and len(w) < 64:
                         words[w] = packed
                 out.append(packed)
         return b"".join(out)
