@@ -260,6 +260,12 @@ def reached(found: DataFrame, lanes: int, keys: list[list[tuple[int, int]]], mos
     return out
 
 
+def _smallest(known: DataFrame) -> DataFrame:
+    """root, component_id: the smallest `least` of each root, as a written table: a join with it can be split where a root has very many
+    rows, which a join with the aggregate itself can't."""
+    return keep(known.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int = 2, keys: list | None = None) -> DataFrame:
     """doc_id, f0, f1, ..., component_id for every row of docs(doc_id, text).
 
@@ -272,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, lanes: int = 1, most: int =
     own = keep(fingerprints(docs, words, lanes), "fingerprints")
     reps = keep(own.groupBy(*names).agg(F.min("doc_id").alias("least")).withColumn("rep", F.xxhash64(*names) if lanes > 1 else F.col("f0")), "distinct-fingerprints")
     known = keep(reps.join(reached(reps, lanes, keys or pigeonhole(most, most + 2), most), "rep").select(*names, "least", "root"), "fingerprint-classes")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = _smallest(known)
     return own.join(known.join(least, "root").select(*names, "component_id"), names)
 
 
@@ -427,7 +433,7 @@ def alike_within(groups: DataFrame, reps: DataFrame, docs: DataFrame, words: int
     A group's sets meet in one task, as many as HASHES hashes or 4 x PART sets; a larger group goes in parts, first in linear work, with
     a few sets that meet all of it, then between those different roots that are left. So each pair of a group is compared or joined already.
     """
-    members = groups.join(groups.groupBy("root").count().filter("count > 1").select("root"), "root")
+    members = groups.join(keep(groups.groupBy("root").count().filter("count > 1").select("root"), "shared-roots"), "root")
     asked = members.join(reps, "rep").select("rep", "root", F.col("least.doc_id").alias("_id"), F.col("least.key").alias("_key"))
     texts = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("key"))
     texts = texts.join(asked, (texts["key"] == asked["_key"]) & texts["doc_id"].eqNullSafe(asked["_id"])).select("rep", "root", "text").dropDuplicates(["rep"])
@@ -472,9 +478,9 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes:
     groups = reached(reps, lanes, keys, _reach(128, share, 0.001), compared=2)
     exact = alike_within(groups, reps, docs, words, similarity).union(_few_links(reps, similarity))
     known = _joined(reps.select("rep", "least", *names, F.col("rep").alias("root")), exact, "fingerprint-classes")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = _smallest(known)
     out = keep(own.drop("few").join(known.join(least, "root").select(*names, "component_id"), names).select("doc_id", "component_id"), "near-texts")
-    drop_kept(own, reps, groups, known)
+    drop_kept(own, reps, groups, known, least)
     return out
 
 
