@@ -32,7 +32,7 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9fÀ-ÖØ-öø-ÿ]|<\\|startofte
 _HELD: dict[str, tuple] = {}
 
 
-def token_bytes(source: str, cache: int = 300_000):
+def token_bytes(source: str, cache: int = 200_000):
     """A function from a list of texts to the bytes of their ids (little-endian, 32 bits), as the tokenizers library gives them for the
     vocabulary with this text, with add_special_tokens=False. Words are tokenized once in a worker and then looked up, as the vocabulary's
     merges never cross words; of those it meets first, which the frequent ones are among, about `cache` are held."""
@@ -50,6 +50,16 @@ def token_bytes(source: str, cache: int = 300_000):
     tokenizer, words = _HELD[name]
     pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
 
+    def of_words(new: list[str]) -> list[bytes]:
+        """All at once, with spaces between; a word by itself only if that cuts some of them."""
+        found = tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, of = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else of
+        if len(first) != len(new):
+            return [pack(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False)]
+        packed, ends = ids.tobytes(), [*first[1:].tolist(), len(ids)]
+        return [packed[4 * i : 4 * j] for i, j in zip(first.tolist(), ends)]
+
     def ids(texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         split = {}
@@ -59,11 +69,13 @@ def token_bytes(source: str, cache: int = 300_000):
             else:
                 split[i] = _WORDS(text.lower())
         new = list(set().union(*split.values()).difference(words)) if split else []
-        own = dict(zip(new, (pack(e.ids) for e in tokenizer.encode_batch(new, add_special_tokens=False))))
+        full = len(words) >= cache
+        words.update(zip(new, of_words(new)))
+        get = words.__getitem__
         for i, found in split.items():
-            out[i] = b"".join([words[w] if w in words else own[w] for w in found])
-        if len(words) < cache:
-            words.update((w, ids) for w, ids in own.items() if len(w) < 64)
+            out[i] = b"".join(map(get, found))
+        for w in new if full else [w for w in new if len(w) >= 64]:
+            del words[w]
         return out
 
     return ids
