@@ -90,6 +90,7 @@ class Automaton:
                 own.append((at, since, until))
                 at, until = self.left.get(at), since
             self.spine[token] = tuple(own)
+        self.table: dict[int, bool] = {}  # whether a state has an arc of a token, of those that texts lead to most
         # of each state: the gadgets that made it, the last one first
         self.gadgets: list[tuple] = [()]
         for state in range(1, len(self.owner)):
@@ -106,14 +107,23 @@ class Automaton:
     def word(self, text: bytes) -> list[int]:
         """Tokens of the word's one path, in one pass over the tables: each prefix has one path, so just one of the tokens that end there
         goes on from where it begins, and where its arc leads is the prefix's state."""
-        target, label, ranks, spines, gadgets = self.target, self.label, self.ranks, self.spine, self.gadgets
+        target, label, gadgets, table = self.target, self.label, self.gadgets, self.table
         states, by = [0] * (len(text) + 1), [-1] * (len(text) + 1)  # of the prefix of each length: its state, and its last token
-        for last, (token, size) in self.ends.iter(text.decode("latin-1")):
-            end = last + 1
-            if by[end] < 0:
-                state = gadgets[states[end - size]]
-                if not state or arc(ranks, state, spines[token]):
-                    states[end], by[end] = target[token], token
+        done = 0
+        for end, (token, size) in self.ends.iter(text.decode("latin-1")):
+            if end < done:
+                continue
+            state = states[end + 1 - size]
+            if gadgets[state]:
+                has = table.get(state << 32 | token)
+                if has is None:
+                    has = arc(self.ranks, gadgets[state], self.spine[token])
+                    if len(table) < ARCS:
+                        table[state << 32 | token] = has
+                if not has:
+                    continue
+            done = end + 1
+            states[done], by[done] = target[token], token
         out, at = [], len(text)
         while at:
             out.append(by[at])
@@ -124,7 +134,9 @@ class Automaton:
 #: What a Python worker has compiled: (automaton, ids of the words it has met), by the vocabulary's digest.
 _COMPILED: dict[str, tuple[Automaton, dict[str, bytes]]] = {}
 #: Words of up to 64 characters whose ids a worker keeps: the first that it meets, which the frequent ones are among.
-CACHE = 300_000
+CACHE = 600_000
+#: Arcs that a worker keeps in its table; others are told from the gadgets each time.
+ARCS = 300_000
 #: Labels of tokens that a worker has read, by the vocabulary's digest.
 _LABELS: dict[str, list[bytes]] = {}
 
