@@ -167,6 +167,39 @@ def test_packing_of_whole_documents(docs):
     assert len(sequences) <= -(-total // 4096) * 1.02 + 1
 
 
+def latin_words(rng, n):
+    return ["".join(rng.choice("aeioustrnlédü") for _ in range(rng.randrange(3, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_texts_are_those_of_the_tokenizer(name, monkeypatch):
+    """Texts of all Latin-1 characters and some others, few words held, few characters cut at a time; vocabularies of other rules too."""
+    t, rng = tokenizer(name), random.Random(7)
+    texts = ["", *(x for x in ODD if x), "<|STARTOFTEXT|>a <|startoftext|>b", "  leading and trailing \n", "x" * 100 + " " + "é!?" * 50, "W\u030aH\u0331"]
+    letters = [chr(c) for c in range(256)] + [" "] * 60 + list("'sdtllveAEÀÉ") * 5
+    texts += ["".join(rng.choice(letters[a:b]) for _ in range(rng.randrange(80))) for a, b in [(0, None), (0, 128), (32, 127), (192, None), (256, None)] for _ in range(150)]
+    texts += [" ".join(latin_words(rng, 300)) + ". It's " + w.upper() + "," for w in latin_words(rng, 20)]
+    monkeypatch.setattr(op9_packing, "_HELD", {})
+    of = op9_packing.token_bytes(op3_bpe.vocabulary(path(name)), cache=500, group=2000)
+    for _ in range(2):
+        for text, packed in zip(texts, of(texts), strict=True):
+            assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == t.encode(text, add_special_tokens=False).ids, text
+    assert of([]) == []
+
+
+def test_new_words_need_only_the_merges(monkeypatch):
+    """Normalizing and splitting new words once more took most of the CPU seconds: texts of Latin-1 do without the whole tokenizer."""
+    source, rng = op3_bpe.vocabulary(path("word_bpe_49k.json")), random.Random(8)
+    monkeypatch.setattr(op9_packing, "_HELD", {})
+    op9_packing.token_bytes(source)
+    for name, (_, *rest) in list(op9_packing._HELD.items()):
+        op9_packing._HELD[name] = (None, *rest)
+    texts = [" ".join(latin_words(rng, 400)) + " It's 12.5%, É!" for _ in range(20)]
+    t = tokenizer("word_bpe_49k.json")
+    for text, packed in zip(texts, op9_packing.token_bytes(source)(texts), strict=True):
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_plan_places_every_length():
     import random
 
